@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from quillon.llm import packing, secrets, token_files, warc
+from quillon.llm import decontaminate, packing, secrets, simhash, token_files, warc
 
 QUERIES = {
+    "op1_simhash": simhash.simhash,
     "op3_warc": warc.warc,
     "op5_secrets": secrets.secrets,
     "op7_token_ids": token_files.token_ids,
+    "op8_decontamination": decontaminate.decontamination,
     "op9_packing": packing.packed,
 }
 
 ORACLE_SQL = {
     "op3_warc": warc.WARC_SQL,
+    "op8_decontamination": decontaminate.DECONTAMINATION_SQL,
 }

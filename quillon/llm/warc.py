@@ -173,7 +173,7 @@ def normalize_archives(archives: DataFrame, folder: str) -> DataFrame:
                         n += 1
                 yield pd.DataFrame({"uri": [target], "records": [n], "bytes": [offset]})
 
-    spread = archives.select("uri").repartition(F.col("uri"))
+    spread = archives.select("uri").repartition(max(1, archives.count()), "uri")
     return materialize(spread.mapInPandas(run, "uri string, records long, bytes long"), "warc-normalized")
 
 
@@ -202,9 +202,10 @@ def read_archives(archives: DataFrame, batch: int = 2000) -> DataFrame:
                         rows.append(row_of(zlib.decompress(f.read(int(n)), wbits=31)))
                 yield pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    dealt = archives.select("uri").repartition(F.col("uri")).mapInPandas(ranges, "uri string, offset long, lengths array<long>")
+    n = max(1, archives.count())
+    dealt = archives.select("uri").repartition(n, "uri").mapInPandas(ranges, "uri string, offset long, lengths array<long>")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
-    return dealt.repartition(F.col("uri"), F.col("offset")).mapInPandas(read, schema)
+    return dealt.repartition(n, "uri", "offset").mapInPandas(read, schema)
 
 
 def row_of(raw: bytes) -> tuple:
