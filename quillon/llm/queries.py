@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, packing, secrets, simhash, token_files, warc
+from quillon.llm import decontaminate, embeddings, packing, secrets, simhash, token_files, warc
 
 QUERIES = {
     "op1_simhash": simhash.simhash,
+    "op2_embeddings": embeddings.embeddings,
     "op3_warc": warc.warc,
     "op5_secrets": secrets.secrets,
     "op7_token_ids": token_files.token_ids,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_embeddings": embeddings.EMBEDDINGS_SQL,
     "op3_warc": warc.WARC_SQL,
     "op8_decontamination": decontaminate.DECONTAMINATION_SQL,
 }
