@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, embeddings, packing, secrets, simhash, token_files, warc
+from quillon.llm import decontaminate, embeddings, lm, packing, secrets, simhash, token_files, warc
 
 QUERIES = {
     "op1_simhash": simhash.simhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_token_ids": token_files.token_ids,
     "op8_decontamination": decontaminate.decontamination,
     "op9_packing": packing.packed,
+    "op10_lm_scores": lm.lm_scores,
 }
 
 ORACLE_SQL = {
