@@ -166,7 +166,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     #: A window over the list of files, one row per file.
     before = F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     based = files.select("file", "uri", F.coalesce(before, F.lit(0)).alias("base"))
-    return based.repartition(F.col("file")).mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+    return based.repartition(max(1, files.count()), "file").mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
