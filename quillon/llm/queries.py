@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, embeddings, lm, packing, secrets, simhash, token_files, warc
+from quillon.llm import decontaminate, embeddings, lm, packing, quality, secrets, simhash, token_files, warc
 
 QUERIES = {
     "op1_simhash": simhash.simhash,
     "op2_embeddings": embeddings.embeddings,
     "op3_warc": warc.warc,
     "op5_secrets": secrets.secrets,
+    "op6_quality": quality.quality,
     "op7_token_ids": token_files.token_ids,
     "op8_decontamination": decontaminate.decontamination,
     "op9_packing": packing.packed,
