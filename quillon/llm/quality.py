@@ -26,7 +26,7 @@ EMBED, FILTERS = 8, 16
 LAGS = range(2, 21)
 #: Labelled rows that the network is fitted on, at most, and chunks taken from each, evenly over the whole text.
 TRAIN_DOCS, TRAIN_CHUNKS = 4_000, 6
-EPOCHS, BATCH, RATE = 6, 64, 0.01
+UPDATES, BATCH, RATE = 500, 64, 0.01
 
 
 @dataclass
@@ -94,7 +94,8 @@ def fit(x: np.ndarray, doc: np.ndarray, y: np.ndarray) -> Net:
     params = [net.embed, net.filters, net.bias, net.out, np.array([net.out_bias], np.float32)]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     balance = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
-    for epoch in range(EPOCHS):
+    epochs = max(1, round(UPDATES / max(1, len(y) // BATCH)))
+    for epoch in range(epochs):
         for some in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
             rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in some])
             of = np.repeat(np.arange(len(some)), [first[d + 1] - first[d] for d in some])
@@ -118,7 +119,7 @@ def fit(x: np.ndarray, doc: np.ndarray, y: np.ndarray) -> Net:
             np.add.at(to_embed, byte.ravel(), back.reshape(-1, EMBED))
             grads = [to_embed, to_filters, down.sum(0), mean.T @ g, np.array([g.sum()], np.float32)]
             t += 1
-            rate = RATE * (1 - epoch / (EPOCHS + 1))
+            rate = RATE * (1 - epoch / (epochs + 1))
             for k, gk in enumerate(grads):
                 m[k] += 0.1 * (gk - m[k])
                 v[k] += 0.01 * (gk * gk - v[k])

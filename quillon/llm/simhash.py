@@ -262,14 +262,19 @@ LOOSE = {"shingle": 5, "n_words": 4, "max_distance": 51, "views": block_views(4)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest id; of rows with equal ids and texts, one.
+    """One document of each group of near-duplicates: that with the smallest id.
 
-    Fingerprint similarity is 0.8 or more, over five-word shingles.  Rows with null ids are kept.
+    Fingerprint similarity is 0.8 or more, over five-word shingles.  Rows with equal ids are one document, of which one
+    row stays.  Rows with null ids are kept.
     """
-    groups = near_duplicates(docs, id_col, text_col, **LOOSE)
-    drop = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct()
-    kept = docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
-    return kept.dropDuplicates() if kept.groupBy(id_col).count().where(F.col("count").gt(1) & F.col(id_col).isNotNull()).limit(1).count() else kept
+    groups = materialize(near_duplicates(docs, id_col, text_col, **LOOSE).select(F.col(id_col).alias("_id"), "component_id"), "groups")
+    drop = groups.where("_id != component_id").select("_id").distinct()
+    twice = groups.where("_id is not null").groupBy("_id").count().where("count > 1").select("_id")
+    kept = docs.join(drop, F.col(id_col) == F.col("_id"), "left_anti")
+    if twice.isEmpty():
+        return kept
+    match = F.col(id_col) == F.col("_id")
+    return kept.join(twice, match, "left_anti").unionByName(kept.join(twice, match, "left_semi").dropDuplicates([id_col]))
 
 
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
