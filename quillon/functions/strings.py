@@ -252,7 +252,7 @@ def xmltext(s, escape_newlines=False) -> Column:
     if escape_newlines:
         out = F.replace(F.replace(out, F.lit("\n"), F.lit("&#xa;")), F.lit("\r"), F.lit("&#xd;"))
     wide = F.split(out, "")
-    number = lambda c: F.concat(F.lit("&#x"), F.lower(F.regexp_replace(F.hex(F.encode(c, "UTF-32BE")), "^0+", "")), F.lit(";"))
+    number = lambda c: F.concat(F.lit("&#x"), F.lower(F.regexp_replace(F.hex(F.encode(c, "UTF-32")), "^0+", "")), F.lit(";"))
     return F.when(out.rlike("[^\\x00-\\x7f]"), F.array_join(F.transform(wide, lambda c: F.when(c.rlike("[^\\x00-\\x7f]"), number(c)).otherwise(c)), "")).otherwise(out)
 
 
