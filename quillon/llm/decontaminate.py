@@ -2,9 +2,9 @@
 
 The index holds a posting (term, document row, position) for every training token that some benchmark item contains,
 and one more per document for its end, so documents without such tokens are in it too.  A window of an item can only
-occur where its rarest term does; the postings of these terms, moved back by their offsets in the item, give the
-candidate diagonals (item, document, shift).  The lists of all the item's terms, moved likewise, are intersected on
-the candidate diagonals; unbroken runs of a window's length or more are exact occurrences.
+occur where its two rarest terms do; the postings of these terms, moved back by their offsets in the item, must meet
+on a diagonal (item, document, shift).  The lists of all the item's terms, moved likewise, are intersected on the
+diagonals that are left; unbroken runs of a window's length or more are exact occurrences.
 """
 
 from __future__ import annotations
@@ -70,9 +70,13 @@ def occurrences(index: Index, window: int = 10) -> DataFrame:
     frequency = index.postings.where("term >= 0").groupBy("term").agg(F.count("*").alias("n"))
     ranked = items.join(frequency, "term", "left").fillna(0, ["n"])
     starts = F.sequence(F.greatest(F.lit(0), F.col("off") - F.col("need") + 1), F.least(F.col("off"), F.col("size") - F.col("need")))
-    rarest = ranked.select("item", "off", "term", "n", F.explode(starts).alias("at")).groupBy("item", "at").agg(F.min(F.struct("n", "off", "term")).alias("r"))
-    anchors = materialize(rarest.where("r.n > 0").select("item", "r.off", "r.term").distinct(), "anchors")
-    diagonals = index.postings.join(small(anchors), "term").select("item", "row", (F.col("pos") - F.col("off")).alias("shift")).distinct()
+    spans = ranked.select("item", "off", "term", "n", "need", F.explode(starts).alias("at"))
+    order = Window.partitionBy("item", "at").orderBy("n", "off")
+    rarest = spans.withColumns({"k": F.row_number().over(order), "least": F.min("n").over(order)}).where("least > 0 and k <= 2")
+    anchors = materialize(rarest.select("item", "off", "term", "need").distinct(), "anchors")
+    lists = index.postings.join(small(anchors), "term").select("item", "row", (F.col("pos") - F.col("off")).alias("shift"), "off", "need")
+    both = lists.groupBy("item", "row", "shift", "need").agg(F.count("*").alias("n")).where(F.col("n") >= F.least(F.col("need"), F.lit(2)))
+    diagonals = both.select("item", "row", "shift")
     diagonals = materialize(diagonals, "diagonals")
     wanted = diagonals.join(small(items), "item").select("item", "item_id", "row", "shift", "off", "term", "need", (F.col("shift") + F.col("off")).alias("pos"))
     rows = small(diagonals.select("row").distinct())

@@ -212,7 +212,7 @@ def link_prints(classes: DataFrame, views: list[View], reach: int, max_distance:
     Rows out are at most one a class, view and shard that it was dealt to, however dense a group is.
     """
     n = classes.count()
-    sample = classes.orderBy(F.xxhash64("print")).limit(SAMPLE).select("print").toPandas()["print"]
+    sample = classes.select("print").sample(min(1.0, SAMPLE / max(1, n)), SEED).toPandas()["print"]
     held = np.array(sample.tolist(), np.int64).reshape(len(sample), -1).view(np.uint64)
     trees = [fit_tree(view_values(held, v), reach, ceil_div(n, SHARD)) if len(held) else [] for v in views]
 
