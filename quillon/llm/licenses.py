@@ -24,7 +24,7 @@ SPELLINGS = {
     "favour": "favor", "favourite": "favorite", "fulfil": "fulfill", "fulfilment": "fulfillment", "initialise": "initialize", "judgement": "judgment", "labelling": "labeling", "labour": "labor",
     "licence": "license", "licenced": "licensed", "licencing": "licensing", "maximise": "maximize", "modelled": "modeled", "modelling": "modeling", "offence": "offense", "optimise": "optimize",
     "organisation": "organization", "organise": "organize", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling",
-    "utilisation": "utilization", "whilst": "while", "wilful": "willful",
+    "sublicence": "sublicense", "sublicenced": "sublicensed", "sublicencing": "sublicensing", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
 
 # Public licence texts and one-line notices.
@@ -92,19 +92,20 @@ KNOWN = [
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _SPELLED = {a.encode(): b.encode() for a, b in SPELLINGS.items()}
-_MARKS = (b"copyright ", "© ".encode(), b"all rights reserved")
+_COPYRIGHT = re.compile(rb"(?:copyright (?!holders?\b|owners?\b|notices?\b|licenses?\b|laws?\b)|\xc2\xa9 |all rights reserved)")
 
 
 def canonical_lines(text: str | None) -> list[bytes]:
     """The canonical words of each line, in order; lines without words and copyright lines are left out.
 
     Words are runs of ASCII digits, letters (A to Z lower-cased) and characters beyond ASCII.  A copyright line begins
-    with "copyright", the copyright sign or "all rights reserved".
+    with "copyright", the copyright sign or "all rights reserved", but not with a phrase such as "copyright holders", which
+    a line of a licence may begin with.
     """
     out = []
     for line in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n"):
         words = b" ".join([_SPELLED.get(w, w) for w in _WORD.findall(line)])
-        if words and not (words + b" ").startswith(_MARKS):
+        if words and not _COPYRIGHT.match(words + b" "):
             out.append(words)
     return out
 
@@ -153,7 +154,7 @@ def _quoted(s: str) -> str:
 _CANONICAL = (
     "list_filter(list_transform(string_split(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)), "
     "lambda l: array_to_string(list_transform(regexp_extract_all(l, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: coalesce(spelled[w], w)), ' ')), "
-    "lambda c: c <> '' AND NOT starts_with(c || ' ', 'copyright ') AND NOT starts_with(c || ' ', '© ') AND NOT starts_with(c || ' ', 'all rights reserved'))"
+    "lambda c: c <> '' AND NOT (starts_with(c || ' ', 'copyright ') AND NOT regexp_matches(c, '^copyright (holders?|owners?|notices?|licenses?|laws?)( |$)')) AND NOT starts_with(c || ' ', '© ') AND NOT starts_with(c || ' ', 'all rights reserved'))"
 )
 LICENSES_SQL = f"""
 WITH s AS (SELECT MAP {{{", ".join(f"{_quoted(a)}: {_quoted(b)}" for a, b in SPELLINGS.items())}}} AS spelled),

@@ -4,7 +4,8 @@ The corpus is cut into blocks of whole documents; a block keeps its tokens as in
 of 64-bit word hashes.  Counts of a key (a word, or a pair of words) over all blocks are found by one exchange: each
 block sends its different keys with its own counts, cut by key range into buckets; a bucket adds them up and sends each
 block the totals of the keys it asked for, in the order asked, so no key travels back.  However frequent a key is, a
-block sends it once.  Pairs with a word that occurs in one block only are counted there and not sent.
+block sends it once.  Pairs with a word that only one block holds, in training or held-out texts, are counted there and
+not sent.
 
 P(w | h) = l2 c(h,w)/c(h) + l1 c(w)/N + l0/(V+1), where the weights depend on the bucket of c(h) by powers of two.
 They are learned by expectation-maximisation on deleted counts: each training token is predicted from the counts
@@ -141,17 +142,19 @@ def requests(name: int, keys: np.ndarray, n: np.ndarray, buckets: int) -> pd.Dat
 def add_up(asked: DataFrame, folder: str) -> tuple[int, int]:
     """Answer requests: a file for each block with the totals of its keys in order; returns (different keys counted, sum).
 
-    Keys that no block counted more than zero times have the total zero and are not counted as keys.
+    Keys that no block counted more than zero times have the total zero and are not counted as keys.  A total is stored
+    doubled, plus one if no other block asked for the key.
     """
 
     def total(g: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_sorted(k) for k in g["keys"]]
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(place, np.concatenate([unpack(n) for n in g["n"]])).astype(np.int64)
+        told = 2 * sums + (np.bincount(place) == 1)
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         stats = np.zeros((len(g), 2), np.int64)
         stats[0] = (sums > 0).sum(), sums.sum()
-        return pd.DataFrame({"block": g["block"], "bucket": g["bucket"], "totals": [pack(sums[p]) for p in np.split(place, cuts)], "keys": stats[:, 0], "sum": stats[:, 1]})
+        return pd.DataFrame({"block": g["block"], "bucket": g["bucket"], "totals": [pack(told[p]) for p in np.split(place, cuts)], "keys": stats[:, 0], "sum": stats[:, 1]})
 
     def store(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("bucket")
@@ -165,19 +168,19 @@ def add_up(asked: DataFrame, folder: str) -> tuple[int, int]:
     return r[0] or 0, r[1] or 0
 
 
-def answered(folder: str, block: int) -> np.ndarray:
+def answered(folder: str, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The totals of a block's keys, and which of them no other block asked for."""
     with opened(f"{folder}/{block}.u64") as f:
-        return unpack(f.read()).astype(np.int64)
+        told = unpack(f.read()).astype(np.int64)
+    return told >> 1, (told & 1).astype(bool)
 
 
 class Counts:
     """A block's tokens with the corpus counts of their word, context and pair."""
 
     def __init__(self, b: Block, words_in: str, pairs_in: str | None, starts: int):
-        self.word = answered(words_in, b.name)
-        own = b.own()
+        self.word, here = answered(words_in, b.name)
         keys, place, before = b.pairs()
-        here = self.word == own  # all training tokens of the word are in this block
         first = np.zeros(len(keys), np.int64)
         first[place] = np.arange(len(place))
         left, right = before[first], b.tokens[first]
@@ -187,7 +190,7 @@ class Counts:
         if pairs_in is not None:
             pair = mine.copy()
             if not settled.all():
-                pair[~settled] = answered(pairs_in, b.name)
+                pair[~settled] = answered(pairs_in, b.name)[0]
             self.pair = pair[place]
             self.context = np.where(before < 0, starts, self.word[before])
             self.token = self.word[b.tokens]

@@ -213,8 +213,8 @@ def link_prints(classes: DataFrame, views: list[View], reach: int, max_distance:
     """
     n = classes.count()
     sample = classes.select("print").sample(min(1.0, SAMPLE / max(1, n)), SEED).toPandas()["print"]
-    held = np.array(sample.tolist(), np.int64).reshape(len(sample), -1).view(np.uint64)
-    trees = [fit_tree(view_values(held, v), reach, ceil_div(n, SHARD)) if len(held) else [] for v in views]
+    held = np.array(sample.tolist(), np.int64).reshape(len(sample), -1).view(np.uint64) if len(sample) else None
+    trees = [fit_tree(view_values(held, v), reach, ceil_div(n, SHARD)) if held is not None else [] for v in views]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
