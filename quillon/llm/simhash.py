@@ -29,8 +29,11 @@ from quillon.llm.components import Labels, components
 SEED = 42
 #: Fingerprint classes that the upper trees are fitted on; all classes are dealt out and compared, whatever the sample.
 SAMPLE = 65_536
-#: Classes aimed at for a shard, and in a leaf of a task's own tree.
-SHARD, LEAF = 20_000, 64
+#: Classes aimed at for a shard, and in a leaf of a task's own tree.  Each level of the upper tree deals boundary classes
+#: twice, so shards are as large as a task's memory comfortably holds.
+SHARD, LEAF = 100_000, 64
+#: Classes that a task deals at a time; those that go to one shard travel as one row.
+DEALT = 50_000
 
 Block = tuple[int, int, int]  # word, shift, width
 View = tuple[Block, ...]
@@ -217,21 +220,29 @@ def link_prints(classes: DataFrame, views: list[View], reach: int, max_distance:
     trees = [fit_tree(view_values(held, v), reach, ceil_div(n, SHARD)) if held is not None else [] for v in views]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def blocks() -> pd.DataFrame:
+            names, prints = (np.concatenate(x) for x in zip(*held))
+            rows = [(k, shard, names[at].tobytes(), prints[at].tobytes()) for k, (view, nodes) in enumerate(zip(views, trees)) for shard, at in route(view_values(prints, view), nodes, reach)]
+            return pd.DataFrame(rows, columns=["view", "shard", "cls", "prints"])
+
         for b in batches:
-            if not len(b):
-                continue
-            prints = np.array(b["print"].tolist(), np.int64).reshape(len(b), -1).view(np.uint64)
-            for k, (view, nodes) in enumerate(zip(views, trees)):
-                for shard, rows in route(view_values(prints, view), nodes, reach):
-                    yield pd.DataFrame({"view": k, "shard": shard, "cls": b["cls"].to_numpy()[rows], "print": b["print"].to_numpy()[rows]})
+            if len(b):
+                held.append((b["cls"].to_numpy(np.int64), np.array(b["print"].tolist(), np.int64).reshape(len(b), -1).view(np.uint64)))
+                if sum(len(names) for names, _ in held) >= DEALT:
+                    yield blocks()
+                    held = []
+        if held:
+            yield blocks()
 
     def link(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        prints = np.array(group["print"].tolist(), np.int64).reshape(len(group), -1).view(np.uint64)
+        names = np.frombuffer(b"".join(group["cls"]), np.int64)
+        prints = np.frombuffer(b"".join(group["prints"]), np.uint64).reshape(len(names), -1)
         i, j = link_shard(prints, views[key[0]], reach, max_distance)
-        names = group["cls"].to_numpy()
         return pd.DataFrame({"a": names[i], "b": names[j]})
 
-    dealt = classes.select("cls", "print").mapInPandas(deal, "view int, shard int, cls long, print array<long>")
+    dealt = classes.select("cls", "print").mapInPandas(deal, "view int, shard int, cls binary, prints binary")
     return dealt.groupBy("view", "shard").applyInPandas(link, "a long, b long")
 
 
@@ -246,12 +257,15 @@ def near_duplicates(
     rows are reported each.  Other columns are ignored.  An empty table gives no rows.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle, n_words), "prints")
-    classes = materialize(prints.groupBy("print").agg(F.min("id").alias("least")).select("print", "least", F.monotonically_increasing_id().alias("cls")), "classes")
+    # Classes are numbered in the order of their smallest ids, so the smallest class of a component has its smallest id.
+    rising = F.col("least").asc_nulls_last()
+    ordered = prints.groupBy("print").agg(F.min("id").alias("least")).repartitionByRange(rising).sortWithinPartitions(rising)
+    classes = materialize(ordered.select("print", "least", F.monotonically_increasing_id().alias("cls")), "classes")
     if views is None:
         views, reach = exact_views(max_distance, classes.count())
     found = components(link_prints(classes, views, reach, max_distance))
-    of = classes.join(found, F.col("cls") == F.col("node"), "left").select("print", "least", F.coalesce("component", "cls").alias("component"))
-    smallest = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = classes.join(found, F.col("cls") == F.col("node"), "left").select("print", F.coalesce("component", "cls").alias("component"))
+    smallest = classes.select(F.col("cls").alias("component"), F.col("least").alias("component_id"))
     named = of.join(smallest, "component").select("print", "component_id")
     digits = F.array_join(F.transform("print", lambda w: F.lpad(F.lower(F.hex(w)), 16, "0")), "")
     return prints.join(named, "print").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
