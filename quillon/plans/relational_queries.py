@@ -200,10 +200,10 @@ def join_theta(t):
     return t("supplier").join(F.broadcast(t("region")), F.col("s_nationkey") % 5 < F.col("r_regionkey")).select("s_suppkey", "r_name")
 
 
-@query("SELECT e.event_id, p.p_partkey FROM events e JOIN part p ON e.value BETWEEN p.p_retailprice / 100 - 0.05 AND p.p_retailprice / 100 + 0.05 WHERE p.p_partkey % 50 = 0")
+@query("SELECT e.event_id, p.p_partkey FROM events e JOIN part p ON e.value BETWEEN p.p_retailprice / 100 - 0.001 AND p.p_retailprice / 100 + 0.001")
 def join_band(t):
-    p = t("part").where("p_partkey % 50 = 0").select("p_partkey", (F.col("p_retailprice") / 100 - 0.05).alias("lo"), (F.col("p_retailprice") / 100 + 0.05).alias("hi"))
-    return R.band_join(t("events").select("event_id", "value"), p, "value", "lo", "hi", 0.5).select("event_id", "p_partkey")
+    p = t("part").select("p_partkey", (F.col("p_retailprice") / 100 - 0.001).alias("lo"), (F.col("p_retailprice") / 100 + 0.001).alias("hi"))
+    return R.band_join(t("events").select("event_id", "value"), p, "value", "lo", "hi", 0.01).select("event_id", "p_partkey")
 
 
 @query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
