@@ -28,8 +28,11 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,12}://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|io|dev|cloud)\b(?::\d+)?", re.A)
-WEAK_ACCESS = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Z0-9]{16,32}(?![A-Za-z0-9+/_=-])")
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+#: What every endpoint holds: a text without it has none.
+ENDPOINT_HINT = re.compile(r"://|\.(?:com|net|org|io|dev|cloud)\b", re.A)
+WEAK_ACCESS = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Z0-9]{16,}(?![A-Za-z0-9+/_=-])")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+INSIDE, OUTSIDE = re.compile(r"[A-Za-z0-9+/_=-]"), re.compile(r"[^A-Za-z0-9+/_=-]")
 PARAGRAPH = re.compile(r"\n[ \t]*\n")
 
 Span = tuple[int, int, str]  # start, end, kind
@@ -63,7 +66,7 @@ def is_random(s: str) -> bool:
 
 def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
     """Weak candidates and endpoints that a complementary part lies within reach of, in the same paragraph."""
-    if not base and "://" not in text:
+    if not base and not ENDPOINT_HINT.search(text):
         return []
     cuts = [m.start() for m in PARAGRAPH.finditer(text)]
     taken = [(s, e) for s, e, _ in base]
@@ -74,12 +77,15 @@ def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
     done_to = 0
     for s, e, _ in anchors:  # only the neighbourhood of an anchor can hold a linked candidate
         lo, hi = max(done_to, s - reach), min(len(text), e + reach)
-        lo = max(0, lo - 128) if done_to < lo else max(0, done_to - 128)
-        done_to = max(done_to, hi)
-        around = text[lo : hi + 128]
-        weak = [(lo + m.start(), lo + m.end(), "weak_access") for m in WEAK_ACCESS.finditer(around) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
-        weak += [(lo + m.start(), lo + m.end(), "weak_secret") for m in WEAK_SECRET.finditer(around) if is_random(m[0])]
-        out |= {x for x in weak if free(x[0], x[1]) and edge_ok(text, x)}
+        if hi < lo:
+            continue
+        while lo > done_to and INSIDE.match(text, lo - 1):  # from the start of a token to the end of one
+            lo -= 1
+        end = OUTSIDE.search(text, hi)
+        done_to = hi = end.start() if end else len(text)
+        weak = [(m.start(), m.end(), "weak_access") for m in WEAK_ACCESS.finditer(text, lo, hi) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
+        weak += [(m.start(), m.end(), "weak_secret") for m in WEAK_SECRET.finditer(text, lo, hi) if is_random(m[0])]
+        out |= {x for x in weak if free(x[0], x[1])}
     starts = [a[0] for a in anchors]
     longest = max([a[1] - a[0] for a in anchors], default=0)
 
@@ -108,12 +114,6 @@ def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
     return found
 
 
-def edge_ok(text: str, x: Span) -> bool:
-    """Whether a candidate found in a part of the text is a whole token of the text."""
-    inside = re.compile(r"[A-Za-z0-9+/_=-]")
-    return not (x[0] and inside.match(text[x[0] - 1])) and not (x[1] < len(text) and inside.match(text[x[1]]))
-
-
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
@@ -132,7 +132,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", reach: int = 200) -> D
         for t in texts:
             text = t or ""
             base = base_spans(text)
-            spans = sorted([*base, *linked_spans(text, base, reach)], key=order) if base or "://" in text else base
+            spans = sorted([*base, *linked_spans(text, base, reach)], key=order)
             counts = Counter(k for _, _, k in base)
             rows.append((counts["assign"], counts["access"], counts["hex"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redact(t, spans)))
         return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"])

@@ -83,6 +83,21 @@ def test_linked_parts():
     assert X.redact("a password=abcdefgh1 b", X.base_spans("a password=abcdefgh1 b")) == "a [SECRET] b"
 
 
+def test_linked_parts_of_bare_hosts_and_long_keys(spark):
+    weak = "aB3dE5gH7jK9mN1pQ3sT5vW7"
+    host = f"host db.example.com user ABCDEFGH12345678 and {weak}"
+    long_key, long_id = weak * 5 + weak[:10], "ABCDEFGH12345678" * 3
+    keys = f"id AKIAABCDEFGHIJKL and {long_key} end"
+    ids = f"at db.example.com:5432 with {long_id}"
+    texts = [host, host + "\n\nsee https://example.org/page", keys, ids, f"id AKIAABCDEFGHIJKL{' x' * 95} {weak * 100}", "see db.example.com for more"]
+    rows = {r["doc_id"]: r for r in X.scan_secrets(docs_of(spark, *texts)).collect()}
+    found = [{(k, t[int(s) : int(e)]) for k, s, e in (x.split(":") for x in filter(None, rows[i]["spans"].split(",")))} for i, t in enumerate(texts)]
+    linked = {("endpoint", "db.example.com"), ("weak_access", "ABCDEFGH12345678"), ("weak_secret", weak)}
+    access = ("access", "AKIAABCDEFGHIJKL")
+    assert found == [linked, linked, {access, ("weak_secret", long_key)}, {("endpoint", "db.example.com:5432"), ("weak_access", long_id)}, {access, ("weak_secret", weak * 100)}, set()]
+    assert rows[0]["redacted"] == "host [SECRET] user [SECRET] and [SECRET]" and rows[2]["redacted"] == "id [SECRET] and [SECRET] end"
+
+
 # Quality
 
 
