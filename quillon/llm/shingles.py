@@ -1,0 +1,173 @@
+"""Pairs of texts whose sets of shingles have a Jaccard similarity of a threshold or more: all such pairs, and no others.
+
+Prefix filtering: shingles are put in one order for all texts, and a set's prefix is its first shingles, just so many
+that two sets at the threshold share one within their prefixes.  Texts meet in the lists of their prefixes' shingles;
+sizes and positions there rule out most others, and each pair left is counted exactly.  Any order gives the same pairs;
+shingles that a sample holds often come last, so that lists stay short.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillon.llm.common import materialize
+
+SEED = 42
+#: The similarity as a fraction: integers decide, without rounding.
+SIMILAR = (4, 5)
+#: Texts whose shingles are counted for the order, the count from which one is common, and the most that are.
+SAMPLE, COMMON, MOST = 20_000, 4, 200_000
+#: Pairs of a list that are looked at a time.
+PAIRS = 1 << 20
+#: Classes in pairs up to which their names are sent to all tasks; beyond it the texts are shuffled to them.
+BROADCAST = 1 << 17
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle in its place; a text of fewer words is one shingle, one without words has none."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: lower() changes A to Z only
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    whole = b" ".join(words)
+    if n <= shingle:
+        hashes = [xxhash.xxh64_intdigest(whole, SEED)]
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+        starts = np.append(0, ends[:-1] + 1)
+        digest = xxhash.xxh64_intdigest
+        hashes = [digest(whole[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
+    return np.array(hashes, np.uint64)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The text's different shingles, rising."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def digest(held: np.ndarray) -> bytes:
+    return hashlib.blake2b(held.tobytes(), digest_size=16).digest()
+
+
+def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the texts holds often, rising, and their counts."""
+
+    @F.pandas_udf("array<long>")
+    def held(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts])
+
+    sample = docs.sample(min(1.0, SAMPLE / max(1, docs.count())), SEED)
+    counts = sample.select(F.explode(held(text_col)).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON)
+    got = counts.orderBy(F.desc("count")).limit(MOST).toPandas()
+    h = got["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], got["count"].to_numpy(np.int64)[order]
+
+
+def prefix(held: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles, in the order of all texts, of which two sets at the threshold share one."""
+    a, b = SIMILAR
+    often = np.zeros(len(held), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, held), len(common) - 1)
+        often = np.where(common[at] == held, counts[at], 0)
+    return held[np.lexsort((held, often))][: len(held) - -(-a * len(held) // b) + 1]
+
+
+def shingle_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, print, size, prefix): a digest of each row's set, its size, and its prefix as packed 64-bit words."""
+    common, counts = common_shingles(docs, text_col, shingle)
+
+    @F.pandas_udf("print binary, size int, prefix binary")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, shingle) for t in texts]
+        return pd.DataFrame({"print": [digest(x) for x in sets], "size": np.array([len(x) for x in sets], np.int32), "prefix": [prefix(x, common, counts).tobytes() for x in sets]})
+
+    return docs.select(F.col(id_col).alias("id"), found(text_col).alias("f")).select("id", "f.print", "f.size", "f.prefix")
+
+
+def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b), a < b, from places (h, size, pos, cls) sorted by h and size; a pair comes once a list.
+
+    room is the most that they can share after this shingle, less what they must share in all.
+    """
+    p, q = SIMILAR
+    left: list[np.ndarray] = []  # the last list, which may go on
+
+    def pairs(h: np.ndarray, size: np.ndarray, pos: np.ndarray, cls: np.ndarray) -> Iterator[pd.DataFrame]:
+        run = np.cumsum(np.append(0, h[1:] != h[:-1])).astype(np.int64) << 32
+        last = np.searchsorted(run + size, run + np.minimum(q * size // p, (1 << 32) - 1), "right")
+        n = last - np.arange(len(h)) - 1
+        upto, at = np.cumsum(n), 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+            i = np.repeat(np.arange(at, to), n[at:to])
+            j = i + 1 + np.arange(len(i)) - np.repeat(upto[at:to] - n[at:to] - (upto[at - 1] if at else 0), n[at:to])
+            room = np.minimum(size[i] - pos[i] - 1, size[j] - pos[j] - 1) - -(-p * (size[i] + size[j]) // (p + q))
+            ok = room >= -1
+            if ok.any():
+                x, y = cls[i[ok]], cls[j[ok]]
+                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "room": room[ok]})
+            at = to
+
+    for b in batches:
+        new = [b[c].to_numpy(np.int64) for c in ("h", "size", "pos", "cls")]
+        held = [np.concatenate(x) for x in zip(left, new)] if left else new
+        if not len(held[0]):
+            continue
+        cut = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if held[0][0] != held[0][-1] else 0
+        if cut:
+            yield from pairs(*(x[:cut] for x in held))
+        left = [x[cut:] for x in held]
+    if left:
+        yield from pairs(*left)
+
+
+def similar_pairs(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Links (a, b) between all classes (cls, print, least, size, prefix) whose sets are similar; docs hold their texts."""
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.frombuffer(x, np.int64) for x in b["prefix"]]
+            n = [len(x) for x in sets]
+            if sum(n):
+                yield pd.DataFrame({"h": np.concatenate(sets), "size": np.repeat(b["size"].to_numpy(), n), "pos": np.concatenate([np.arange(k) for k in n]), "cls": np.repeat(b["cls"].to_numpy(), n)})
+
+    placed = classes.where("size > 0").select("cls", "size", "prefix").mapInPandas(places, "h long, size int, pos int, cls long")
+    lists = placed.repartition(F.col("h")).sortWithinPartitions("h", "size")
+    # Of the shingles that a pair meets in, what it can share after the last and their number must reach what it must share.
+    met = lists.mapInPandas(meet, "a long, b long, room long").groupBy("a", "b").agg((F.count("*") + F.min("room")).alias("spare"))
+    pairs = materialize(met.where("spare >= 0").select("a", "b"), "shingle-pairs")
+
+    @F.pandas_udf("print binary, held binary")
+    def sets(texts: pd.Series) -> pd.DataFrame:
+        held = [shingle_set(t, shingle) for t in texts]
+        return pd.DataFrame({"print": [digest(x) for x in held], "held": [x.tobytes() for x in held]})
+
+    @F.pandas_udf("boolean")
+    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
+        p, q = SIMILAR
+        out = []
+        for s, t in zip(x, y):
+            u, v = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+            both = np.count_nonzero(v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u)
+            out.append(q * both >= p * (len(u) + len(v) - both))
+        return pd.Series(out, dtype=bool)
+
+    named = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    wanted = materialize(classes.join(named, "cls").select("cls", "print", "least"), "shingle-wanted")
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(wanted, F.col("_id").eqNullSafe(F.col("least")))
+    held = texts.select("cls", F.col("print").alias("own"), sets("_text").alias("f")).where("f.print = own").select("cls", "f.held").dropDuplicates(["cls"])
+    held = materialize(held, "shingle-sets")
+    left, right = held.select(F.col("cls").alias("a"), F.col("held").alias("x")), held.select(F.col("cls").alias("b"), F.col("held").alias("y"))
+    return pairs.join(left, "a").join(right, "b").where(similar("x", "y")).select("a", "b")

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm import shingles
 from quillon.llm.common import ceil_div, materialize, table
 from quillon.llm.components import Labels, components
 
@@ -44,21 +45,9 @@ def document_fingerprint(text: str | None, shingle: int, n_words: int) -> list[i
 
     The first word counts the bits of each shingle's XXH64; further words count those of its mixes.
     """
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: lower() changes A to Z only
-    n = len(words)
-    if not n:
+    h = shingles.shingle_hashes(text, shingle)
+    if not len(h):
         return [0] * n_words
-    whole = b" ".join(words)
-    if n <= shingle:
-        hashes = [xxhash.xxh64_intdigest(whole, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.append(0, ends[:-1] + 1)
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(whole[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
-    h = np.array(hashes, np.uint64)
     out = []
     for w in range(n_words):
         x = h if not w else mix(h + np.uint64((w * 0x9E3779B97F4A7C15) % (1 << 64)))
@@ -116,11 +105,6 @@ def spread(total: int, parts: int) -> Iterator[list[int]]:
     yield from go(total, parts, total)
 
 
-def block_views(n_words: int, width: int = 16) -> list[View]:
-    """One view for each block of so many bits."""
-    return [((w, s, width),) for w in range(n_words) for s in range(0, 64, width)]
-
-
 def view_values(prints: np.ndarray, view: View) -> np.ndarray:
     """The bits of a view, packed into one unsigned 64-bit value a row."""
     out = np.zeros(len(prints), np.uint64)
@@ -271,17 +255,31 @@ def near_duplicates(
     return prints.join(named, "print").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
 
-#: For texts as a person would compare them: 256 bits of five-word shingles, of which 0.8 or more agree.
-LOOSE = {"shingle": 5, "n_words": 4, "max_distance": 51, "views": block_views(4), "reach": 1}
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """For each row: its id and the smallest id that links of similar shingle sets lead to, as component_id.
+
+    All pairs of texts link whose sets of shingles have a Jaccard similarity of shingles.SIMILAR or more, and no others.
+    Texts without words are one class.  Rows with a null id take part but are never the smallest.
+    """
+    prints = materialize(shingles.shingle_prints(docs, id_col, text_col, shingle), "shingle-prints")
+    rising = F.col("least").asc_nulls_last()
+    grouped = prints.groupBy("print").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    ordered = grouped.repartitionByRange(rising).sortWithinPartitions(rising)
+    classes = materialize(ordered.select("*", F.monotonically_increasing_id().alias("cls")), "shingle-classes")
+    found = components(shingles.similar_pairs(classes, docs, id_col, text_col, shingle))
+    of = classes.join(found, F.col("cls") == F.col("node"), "left").select("print", F.coalesce("component", "cls").alias("component"))
+    smallest = classes.select(F.col("cls").alias("component"), F.col("least").alias("component_id"))
+    named = of.join(smallest, "component").select("print", "component_id")
+    return prints.select("id", "print").join(named, "print").select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id.
 
-    Fingerprint similarity is 0.8 or more, over five-word shingles.  Rows with equal ids are one document, of which one
-    row stays.  Rows with null ids are kept.
+    Similarity is the Jaccard similarity of sets of five-word shingles, 0.8 or more.  Rows with equal ids are one
+    document, of which one row stays.  Rows with null ids are kept.
     """
-    groups = materialize(near_duplicates(docs, id_col, text_col, **LOOSE).select(F.col(id_col).alias("_id"), "component_id"), "groups")
+    groups = materialize(near_texts(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "component_id"), "groups")
     drop = groups.where("_id != component_id").select("_id").distinct()
     twice = groups.where("_id is not null").groupBy("_id").count().where("count > 1").select("_id")
     kept = docs.join(drop, F.col(id_col) == F.col("_id"), "left_anti")

@@ -107,6 +107,35 @@ def test_loose_copies(spark):
     assert len([d for d in kept if d % 2]) <= 1
 
 
+def edited(rng, base, changes):
+    """A copy of a text with so many words replaced, far apart or not."""
+    copy = list(base)
+    for i in rng.sample(range(len(base)), changes):
+        copy[i] = f"c{rng.randint(0, 10**9)}"
+    return copy
+
+
+def test_loose_copies_are_all_found(spark):
+    """Pairs around the threshold against brute force: none is missed, none is linked without being similar."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(150):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(30, 200))]
+        texts += [base, edited(rng, base, max(1, round(len(base) * rng.uniform(0.005, 0.05))))]
+        if rng.random() < 0.3:
+            texts.append(base[: round(len(base) * rng.uniform(0.7, 0.95))])
+    texts += [[], ["one"], ["one"]]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    want = classes(len(sets), lambda x, y: 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in S.near_texts(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert {r["doc_id"] for r in S.keep_first(docs).collect()} == set(want)
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(160)] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, i) for i in range(5001, 5300)]
