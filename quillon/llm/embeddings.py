@@ -6,9 +6,10 @@ its error is at most epsilon * sqrt(1 - <c, o>^2) / (<c, o> * sqrt(D - 1)) with
 exp(-epsilon^2 / 2).  Pairs whose upper bound, from either side, lies below the threshold are settled by their codes;
 the others are computed anew in double precision.
 
-Vectors with a label are divided into cells around centroids once a label has more than CELL vectors, each vector
-going to its PROBES nearest cells; a pair is counted in the first cell that it shares.  A cell too large for one task is
-cut into blocks, and each pair of blocks is one task.
+Vectors of a label of more than CELL vectors are divided into cells around the label's centroids.  Each vector is at home in
+its nearest cell, and a guest in every cell of a lower number whose half-space its ball of the search angle reaches: no
+linked pair is missed, and each is met once, in the lower of its two homes.  A cell too large for one task is cut into
+blocks of members and of guests, and each pair of blocks with a member block is one task.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ THRESHOLD = 0.93
 EPSILON = 6.0
 #: Vectors of a label that are compared without cells, and vectors in a block.
 CELL, BLOCK = 16_384, 4_096
-PROBES = 4
 #: Vectors that centroids are fitted on, and the most centroids; all vectors are dealt to cells and compared.
 SAMPLE, CENTROIDS = 20_000, 4_096
 
@@ -58,7 +58,7 @@ def fit_centroids(unit: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def compare_blocks(a: pd.DataFrame, b: pd.DataFrame, same: bool, threshold: float, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compare_blocks(a: pd.DataFrame, b: pd.DataFrame, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Linked weights of a's and of b's rows, and stars (i, j) over a's rows followed by b's."""
     d = len(a["unit"].iloc[0])
     va, vb = (np.array(x["unit"].tolist(), np.float64).reshape(-1, d) for x in (a, b))
@@ -68,8 +68,6 @@ def compare_blocks(a: pd.DataFrame, b: pd.DataFrame, same: bool, threshold: floa
     signs = [np.unpackbits(np.array([np.frombuffer(c, np.uint8) for c in x["code"]]), axis=1)[:, :d].astype(np.float32) * 2 - 1 for x in (a, b)]
     turned = [(v @ turn / np.sqrt(d)).astype(np.float32) for v in (va, vb)]
     slack = [EPSILON * np.sqrt(np.maximum(0, 1 - f * f) / max(1, d - 1)) * np.sqrt(1 - threshold**2) / f + 1e-4 for f in (fa, fb)]
-    probes = [x["cells"].tolist() for x in (a, b)]
-    several = len(probes[0][0]) > 1
     la, lb, labels = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), Labels(len(a) + (0 if same else len(b)))
     shift = 0 if same else len(a)
     for at in range(0, len(a), 512):
@@ -85,9 +83,6 @@ def compare_blocks(a: pd.DataFrame, b: pd.DataFrame, same: bool, threshold: floa
             i, j = np.nonzero(near)
             ok = np.einsum("ij,ij->i", va[at + i], vb[j]) >= threshold
             i, j = i[ok], j[ok]
-        if several and len(i):
-            first = np.array([min(set(probes[0][at + x]) & set(probes[1][y])) for x, y in zip(i, j)])
-            i, j = i[first == cell], j[first == cell]
         la[rows] += np.bincount(i, wb[j], near.shape[0]).astype(np.int64)
         lb += np.bincount(j, wa[at + i], len(b)).astype(np.int64)
         for x in np.unique(i).tolist():
@@ -100,34 +95,49 @@ def compare_blocks(a: pd.DataFrame, b: pd.DataFrame, same: bool, threshold: floa
 def link_vectors(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """From classes (cls, label, unit, n): (cls, linked) partial sums of linked weights, and links (a, b)."""
     sizes = classes.groupBy("label", F.size("unit").alias("d")).count()
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    k = min(CENTROIDS, ceil_div(largest, CELL // 2)) if largest > CELL else 1
-    centers: dict[int, np.ndarray] = {}
-    if k > 1:
-        sample = classes.select("unit").sample(min(1.0, SAMPLE / classes.count()), SEED).toPandas()["unit"]
-        for d in {len(x) for x in sample}:
-            held = np.array([x for x in sample if len(x) == d])
-            centers[d] = fit_centroids(held, min(k, len(held)))
+    large = sizes.where(F.col("count") > CELL).select("label", "d", "count")
+    counts = {(r["label"], r["d"]): r["count"] for r in large.collect()}
+    centers: dict[tuple, np.ndarray] = {}
+    if counts:
+        of = classes.select("label", F.size("unit").alias("d"), "unit").join(F.broadcast(large.select("label", "d")), ["label", "d"])
+        sample = of.sample(min(1.0, SAMPLE / sum(counts.values())), SEED).toPandas()
+        for at, part in sample.groupby(["label", "d"]):
+            k = min(CENTROIDS, ceil_div(counts[at], CELL // 2), len(part))
+            centers[at] = fit_centroids(np.array(part["unit"].tolist()), k)
+    # How far beyond the plane between two cells a vector may lie and still be linked across it.
+    beyond = np.sqrt(max(0.0, 1 - threshold**2)) if threshold > 0 else 2.0
+
+    def reached(unit: np.ndarray, c: np.ndarray) -> list[list[int]]:
+        """Each vector's home, then the lower cells that may hold a linked vector."""
+        if len(c) == 1:
+            return [[0]] * len(unit)
+        apart = np.linalg.norm(c[:, None] - c[None], axis=2) if len(c) <= 512 else None
+        out = []
+        for x in unit @ c.T:
+            h = int(x.argmax())
+            far = apart[h, :h] if apart is not None else np.linalg.norm(c[:h] - c[h], axis=1)
+            out.append([h, *np.flatnonzero(x[h] - x[:h] <= beyond * far + 1e-9).tolist()])
+        return out
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for d, part in b.groupby(b["unit"].str.len()):
+            for (label, d), part in b.groupby(["label", b["unit"].str.len().rename("d")]):
                 unit = np.array(part["unit"].tolist(), np.float64)
                 bits, factor = coded(unit)
-                cells = np.zeros((len(part), 1), np.int64)
-                if d in centers:
-                    p = min(PROBES, len(centers[d]))
-                    cells = np.argpartition(-(unit @ centers[d].T), p - 1, axis=1)[:, :p]
-                yield pd.DataFrame({"cls": part["cls"], "label": part["label"], "d": int(d), "unit": part["unit"], "n": part["n"], "code": [x.tobytes() for x in bits], "factor": factor, "cells": cells.tolist()})
+                cells = reached(unit, centers.get((label, d), np.zeros((1, d))))
+                yield pd.DataFrame({"cls": part["cls"], "label": part["label"], "d": int(d), "unit": part["unit"], "n": part["n"], "code": [x.tobytes() for x in bits], "factor": factor, "cells": cells})
 
     label = dict(classes.dtypes)["label"]
     schema = f"cls long, label {label}, d int, unit array<double>, n long, code binary, factor double, cells array<long>"
     codes = materialize(classes.select("cls", "label", "unit", "n").mapInPandas(code, schema), "codes")
-    dealt = codes.withColumn("cell", F.explode("cells"))
-    blocks = dealt.groupBy("label", "d", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    placed = dealt.join(blocks, ["label", "d", "cell"]).withColumn("block", mine)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = codes.select("*", F.posexplode("cells").alias("rank", "cell")).drop("cells").withColumn("guest", F.col("rank") > 0)
+    number = lambda guest: F.ceil(F.count_if(F.col("guest") == guest) / BLOCK).cast("int")
+    blocks = dealt.groupBy("label", "d", "cell").agg(number(False).alias("homes"), number(True).alias("guests"))
+    name = F.xxhash64("cls")
+    mine = F.when(F.col("guest"), F.col("homes") + F.pmod(name, F.greatest("guests", F.lit(1)))).otherwise(F.pmod(name, F.greatest("homes", F.lit(1)))).cast("int")
+    placed = dealt.join(blocks, ["label", "d", "cell"]).where("homes > 0").withColumn("block", mine)
+    partners = F.when(F.col("guest"), F.col("homes")).otherwise(F.col("homes") + F.col("guests"))  # guests meet members only
+    other = F.explode(F.sequence(F.lit(0), partners - 1)).alias("other")
     meant = placed.select("*", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
 
     def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
@@ -135,7 +145,7 @@ def link_vectors(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataF
         a, b = (g, g) if same else (g[g["block"] == key[3]], g[g["block"] == key[4]])
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "linked": []}).astype("int64")
-        la, lb, i, j = compare_blocks(a, b, same, threshold, key[2])
+        la, lb, i, j = compare_blocks(a, b, same, threshold)
         names = a["cls"].to_numpy() if same else np.concatenate([a["cls"].to_numpy(), b["cls"].to_numpy()])
         linked = np.concatenate([la, lb])
         some = np.flatnonzero(linked)

@@ -195,6 +195,20 @@ def test_vectors(spark, monkeypatch):
     assert E.near_vectors(df.limit(0)).count() == 0
 
 
+def test_cells_miss_no_vector(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((150, 8))
+    v = [*base.tolist(), *(base[rng.integers(0, 150, 250)] + 0.3 * rng.standard_normal((250, 8))).tolist()]
+    labels = [0 if i % 10 else 1 for i in range(400)]
+    links, comps = brute_vectors(v, labels)
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(v, labels))], "vec_id long, embedding array<double>, label int")
+    for cell, block in ((16, 8), (60, 4096)):  # cells of large labels, cut into blocks, and one label without cells
+        monkeypatch.setattr(E, "CELL", cell)
+        monkeypatch.setattr(E, "BLOCK", block)
+        got = E.near_vectors(df).toPandas().sort_values("vec_id")
+        assert got["n_links"].tolist() == links and got["component_id"].tolist() == comps
+
+
 def test_estimate_is_unbiased():
     """On average over directions, which one rotation meets as rotations meet one direction."""
     rng = np.random.default_rng(5)
