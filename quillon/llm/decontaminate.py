@@ -14,14 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ascii_lower, materialize, table
+from quillon.llm.common import BROADCAST_ROWS, ascii_lower, ceil_div, materialize, small, table
 
 #: Words before A to Z are lower-cased; lower-casing neither joins nor splits words.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Holds a character that no word has.
 END = "\x00"
-#: Tables of at most so many narrow rows are broadcast, larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows (id and hash) up to which those to be dropped are sent to all tasks; more are shuffled with the texts.
+DROPPED = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -29,11 +29,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 @dataclass
 class Index:
     """postings: term long, row long, pos int, doc (set on each document's end posting, whose term is -1).
@@ -58,7 +53,13 @@ def build_index(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     tokens = numbered.select("row", "doc", F.posexplode(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("pos", "w"))
     # lower() is fast but folds more than A to Z: it finds the candidates, and the exact spelling decides.
-    hits = tokens.join(small(known), (F.lower("w") == F.col("folded")) & (ascii_lower(F.col("w")) == F.col("word")))
+    # Tokens are never shuffled by word: a vocabulary too large for one broadcast is met part by part.
+    parts = ceil_div(known.count(), BROADCAST_ROWS)
+    hits = None
+    for k in range(parts):
+        part = F.broadcast(known.where(F.pmod(F.xxhash64("folded"), F.lit(parts)) == k))
+        met = tokens.join(part, (F.lower("w") == F.col("folded")) & (ascii_lower(F.col("w")) == F.col("word")))
+        hits = met if hits is None else hits.unionByName(met)
     postings = hits.select("term", "row", "pos", F.when(F.col("term") == -1, F.col("doc")).alias("doc"))
     return Index(materialize(postings, "postings"), items)
 
@@ -118,9 +119,11 @@ def proximity(index: Index, span: int = 50) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that hold a benchmark window; rows with equal ids stand or fall together."""
-    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without the rows that hold a benchmark window; rows of equal or null ids are told apart by their texts."""
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark")).alias("key"), F.col(text_col).alias("text"))
+    found = contamination(keyed, benchmark, id_col="key", text_col="text")
+    bad = materialize(found.where("contaminated").select("key.id", "key.mark").distinct(), "contaminated")
+    return docs.join(small(bad, DROPPED), docs[id_col].eqNullSafe(bad["id"]) & (F.xxhash64(docs[text_col]) == bad["mark"]), "left_anti")
 
 
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
