@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ceil_div, materialize, table
+from quillon.llm.common import ceil_div, join_spread, materialize, table
 from quillon.llm.components import Labels, components
 
 SEED = 42
@@ -85,8 +85,7 @@ def compare_blocks(a: pd.DataFrame, b: pd.DataFrame, same: bool, threshold: floa
             i, j = i[ok], j[ok]
         la[rows] += np.bincount(i, wb[j], near.shape[0]).astype(np.int64)
         lb += np.bincount(j, wa[at + i], len(b)).astype(np.int64)
-        for x in np.unique(i).tolist():
-            labels.join(at + x, shift + j[i == x])
+        labels.join(at + i, shift + j)
     if same:
         la, lb = la + lb, lb[:0]
     return la, lb, *labels.stars()
@@ -172,16 +171,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     marked = rows.withColumn("usable", usable)
     plain = F.transform(v, lambda x: x + F.lit(0.0))  # no negative zeros, which would part equal vectors
     good = materialize(marked.where("usable").select("id", "label", plain.alias("vector")), "vectors")
-    scaled = F.transform(v, lambda x: x / F.array_max(F.transform(v, lambda y: F.abs(y))))
-    grouped = good.groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    units = grouped.withColumn("scaled", scaled).select("*", F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+    grouped = materialize(good.groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first(top).alias("top")), "different-vectors")
+    scaled = grouped.withColumn("scaled", F.transform(v, lambda x: x / F.col("top")))
+    units = scaled.withColumn("norm", F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x)))
     classes = materialize(units.select(F.monotonically_increasing_id().alias("cls"), "label", "vector", "least", "n", F.transform("scaled", lambda x: x / F.col("norm")).alias("unit")), "vector-classes")
     weights, links = link_vectors(classes, threshold)
     of = classes.select("cls", "label", "vector", "least", "n").join(weights, "cls", "left").join(components(links), F.col("cls") == F.col("node"), "left")
-    of = of.select("label", "vector", "least", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component"))
-    of = materialize(of, "vector-components")
-    named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("label", "vector", "n_links", "component_id")
-    linked = good.join(named, ["label", "vector"]).select("id", "n_links", "component_id")
+    of = of.select("label", "vector", "least", "n", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component"))
+    of = materialize(of.withColumnRenamed("n", "copies"), "vector-components")
+    heads = of.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = join_spread(of, heads, ["component"], of.count()).select("label", "vector", "n_links", "component_id", F.col("copies").alias("n"))
+    linked = join_spread(good, materialize(named, "named-vectors"), ["label", "vector"], good.count()).select("id", "n_links", "component_id")
     alone = marked.where(~F.col("usable")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
