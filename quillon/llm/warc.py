@@ -16,11 +16,11 @@ import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, scratch, table
+from quillon.llm.common import BROADCAST_ROWS, join_spread, materialize, scratch, table
 from quillon.llm.shared_files import opened, written
 
 DATE = "2024-01-01T00:00:00Z"
@@ -113,42 +113,48 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         del held[:size]
 
 
-def first_of_payload(pages: DataFrame, id_col: str, html_col: str, least_bytes: int) -> DataFrame:
-    """(page, response): for each page but the first of its payload, the id of that first page.
+def with_first_of_payload(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """rows (page, url, html) with response: for each page but the first of its payload, the id of that first page.
 
-    Digests are counted before the shuffle, so a payload that a third of all pages share is one row a task.
+    Payloads are counted by digest before the shuffle, so one that a third of all pages share is one row a task.  Pages
+    stay where they are while few payloads repeat; beyond that they are shuffled by id and digest, which no payload heats.
     """
-    payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.to_binary(F.lit(""), F.lit("utf-8")))
-    seen = pages.select(F.col(id_col).alias("page"), F.sha1(payload).alias("digest"), F.length(payload).alias("bytes")).where(F.col("bytes") >= least_bytes)
-    firsts = seen.groupBy("digest", "bytes").agg(F.min("page").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return seen.join(firsts, ["digest", "bytes"]).where("page > response").select("page", "response").dropDuplicates(["page"])
+    payload = F.coalesce(F.encode(F.col("html"), "UTF-8"), F.to_binary(F.lit(""), F.lit("utf-8")))
+    marked = rows.withColumns({"digest": F.sha1(payload), "bytes": F.length(payload)})
+    counted = marked.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("page").alias("response"), F.count("*").alias("n"))
+    firsts = materialize(counted.where("n > 1"), "warc-repeated")
+    revisit = F.when(F.col("page") > F.col("response"), F.col("response")).alias("response")
+    if firsts.count() <= BROADCAST_ROWS:
+        return marked.join(F.broadcast(firsts.drop("n")), ["digest", "bytes"], "left").select("page", "url", "html", revisit)
+    total = firsts.agg(F.sum("n")).first()[0]
+    again = join_spread(marked.select("page", "digest", "bytes"), firsts, ["digest", "bytes"], total).where("page > response").distinct()
+    return marked.join(again, ["page", "digest", "bytes"], "left").select("page", "url", "html", "response")
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write one record a page, one archive a task, each archive a single gzip stream; return a row per archive.
 
     Of pages with equal payloads of at least least_bytes bytes the one with the smallest id is a response, the others
-    revisit it.  A null html is an empty payload; a null id is written as None and never a duplicate; a null url is
-    left out.  Other columns are ignored.  An empty table gives no archive.
+    revisit it.  Page ids are integers.  Rows with one id are told apart by their payloads; of rows equal in both, all are
+    responses if one is.  A null html is an empty payload; a null id is written as None and never a duplicate; a null
+    url is left out.  Other columns are ignored.  An empty table gives no archive.
     """
-    revisits = first_of_payload(pages, id_col, html_col, least_bytes)
-    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).join(revisits, "page", "left")
+    rows = with_first_of_payload(pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), least_bytes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         uri, n, engine = f"{folder}/raw-{TaskContext.get().partitionId():06d}.warc.gz", 0, zlib.compressobj(LEVEL, wbits=31)
         with written(uri) as f:
             for b in batches:
-                for page, url, html, response in zip(b["page"], b["url"], b["html"], b["response"]):
+                for page, url, html, refers in zip(*(b[c].to_pylist() for c in ("page", "url", "html", "response"))):
                     payload = (html or "").encode("utf-8", "surrogatepass")
-                    refers = None if pd.isna(response) else int(response)
-                    f.write(engine.compress(record_bytes(None if pd.isna(page) else int(page), url, payload, payload_digest(payload), refers)))
+                    f.write(engine.compress(record_bytes(page, url, payload, payload_digest(payload), refers)))
                     n += 1
             f.write(engine.flush())
-        yield pd.DataFrame({"uri": [uri], "records": [n]})
+        yield pa.RecordBatch.from_pydict({"uri": [uri], "records": [n]})
 
-    return materialize(rows.mapInPandas(run, "uri string, records long"), "warc-written").where("records > 0")
+    return materialize(rows.mapInArrow(run, "uri string, records long"), "warc-written").where("records > 0")
 
 
 def normalize_archives(archives: DataFrame, folder: str) -> DataFrame:
@@ -157,9 +163,9 @@ def normalize_archives(archives: DataFrame, folder: str) -> DataFrame:
     archives has a column uri.  The index, ``<archive>.idx``, has a JSON object a line: offset, length, type, id, uri.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for source in b["uri"]:
+            for source in b["uri"].to_pylist():
                 target = f"{folder}/{source.rsplit('/', 1)[-1].replace('raw-', 'warc-')}"
                 offset = n = 0
                 with opened(source) as old, written(target) as new, written(f"{target}.idx") as index:
@@ -171,10 +177,10 @@ def normalize_archives(archives: DataFrame, folder: str) -> DataFrame:
                         index.write((json.dumps(line) + "\n").encode())
                         offset += len(member)
                         n += 1
-                yield pd.DataFrame({"uri": [target], "records": [n], "bytes": [offset]})
+                yield pa.RecordBatch.from_pydict({"uri": [target], "records": [n], "bytes": [offset]})
 
-    spread = archives.select("uri").repartition(max(1, archives.count()), "uri")
-    return materialize(spread.mapInPandas(run, "uri string, records long, bytes long"), "warc-normalized")
+    spread = archives.select("uri").repartitionByRange(max(1, archives.count()), "uri")
+    return materialize(spread.mapInArrow(run, "uri string, records long, bytes long"), "warc-normalized")
 
 
 def read_archives(archives: DataFrame, batch: int = 2000) -> DataFrame:
@@ -184,28 +190,31 @@ def read_archives(archives: DataFrame, batch: int = 2000) -> DataFrame:
     that does not fit its payload raises.
     """
 
-    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uri in b["uri"]:
+            for uri in b["uri"].to_pylist():
                 with opened(f"{uri}.idx") as f:
                     lines = [json.loads(x) for x in f.read().splitlines()]
                 parts = [lines[i : i + batch] for i in range(0, len(lines), batch)]
-                yield pd.DataFrame({"uri": uri, "offset": [p[0]["offset"] for p in parts], "lengths": [[x["length"] for x in p] for p in parts]})
+                lengths = pa.array([[x["length"] for x in p] for p in parts], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_pydict({"uri": [uri] * len(parts), "offset": [p[0]["offset"] for p in parts], "lengths": lengths})
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "html": pa.string()}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uri, offset, lengths in zip(b["uri"], b["offset"], b["lengths"]):
+            for uri, offset, lengths in zip(*(b[c].to_pylist() for c in ("uri", "offset", "lengths"))):
                 rows = []
                 with opened(uri) as f:
-                    f.seek(int(offset))
+                    f.seek(offset)
                     for n in lengths:
-                        rows.append(row_of(zlib.decompress(f.read(int(n)), wbits=31)))
-                yield pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                        rows.append(row_of(zlib.decompress(f.read(n), wbits=31)))
+                yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(kinds.items())})
 
     n = max(1, archives.count())
-    dealt = archives.select("uri").repartition(n, "uri").mapInPandas(ranges, "uri string, offset long, lengths array<long>")
+    dealt = archives.select("uri").repartitionByRange(n, "uri").mapInArrow(ranges, "uri string, offset long, lengths array<long>")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
-    return dealt.repartition(n, "uri", "offset").mapInPandas(read, schema)
+    return dealt.repartitionByRange(n, "uri", "offset").mapInArrow(read, schema)
 
 
 def row_of(raw: bytes) -> tuple:

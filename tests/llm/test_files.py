@@ -3,6 +3,7 @@
 import gzip
 import json
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -43,19 +44,23 @@ def token_rows(spark, docs, **sizes):
 
 def test_token_files(spark):
     tk = Tokenizer.from_file(public_path("word_bpe_49k.json"))
-    rows = [(i * 7 % 61 if i != 5 else None, t, 0) for i, t in enumerate(ODD * 3)]
+    rows = [(i * 7 % 31 if i != 5 else None, t, 0) for i, t in enumerate(ODD * 3)] + [(2**53 + 1, "a", 0), (2**53, "b", 0), (-(2**63), "c", 0), (None, "d", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(5)
     for sizes in ({}, {"file_tokens": 5000, "block_tokens": 100}):
         got = token_rows(spark, docs, **sizes)
-        ids = [r["doc_id"] for r in got]
+        ids = [-(2**70) if r["doc_id"] is None else r["doc_id"] for r in got]
         assert ids == sorted(ids) and len(got) == len(rows)
         at = 0
         for r in got:
             assert r["start"] == at and len(r["ids"]) == 4 * r["n_tokens"]
             at += r["n_tokens"]
-        want = sorted((d if d is not None else -(1 << 63), np.array([*tk.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for d, t, _ in rows)
-        assert sorted((r["doc_id"], bytes(r["ids"])) for r in got) == want
+        want = Counter((d, np.array([*tk.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for d, t, _ in rows)
+        assert Counter((r["doc_id"], bytes(r["ids"])) for r in got) == want
+        again = token_rows(spark, docs.repartition(3, "text"), **sizes)  # equal ids come in a fixed order
+        assert [(r["doc_id"], r["start"], r["ids"]) for r in again] == [(r["doc_id"], r["start"], r["ids"]) for r in got]
     assert token_rows(spark, docs.limit(0)) == []
+    with pytest.raises(TypeError):
+        token_rows(spark, docs.selectExpr("cast(doc_id as string) as doc_id", "text"))
 
 
 def check_packing(got, docs, longest=2048):
@@ -94,6 +99,41 @@ def test_packing(spark):
         P.pack_documents(frame, public_path("byte_bpe_50k.json"), tiers=(100, 200))
 
 
+def test_packing_of_equal_lengths(spark):
+    """Texts that leave no short pieces are cut, so that less than a window is held back, in a run of small buffers too."""
+    tiers = (256, 512, 1024, 2048)
+    for lengths in ([1500] * 2000, [1300 + i % 500 for i in range(2000)], [2048] * 5, [1] * 3000, [257] * 9, [3]):
+        items = [(n, i, 0) for i, n in enumerate(lengths)]
+        full, rest = P.pack_buffer(items, tiers, False)
+        assert sum(n for n, _, _ in rest) < 2048
+        assert sum(t for t, _ in full) + sum(n for n, _, _ in rest) == sum(lengths)
+        got = sorted((doc, start, n) for _, w in [*full, (0, rest)] for n, doc, start in w)
+        at = {}
+        for doc, start, n in got:
+            assert start == at.get(doc, 0)
+            at[doc] = start + n
+        assert [at[i] for i in range(len(lengths))] == lengths
+    docs = [(2**53 + 1 + i if i else None, "word " * 1500, 7) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, tier int").repartition(3)
+    got = P.pack_documents(frame, public_path("byte_bpe_50k.json"), buffer_tokens=6000, step_tokens=8192).collect()
+    assert {r["doc_id"] for r in got} == {d for d, _, _ in docs}
+    n = {r["doc_id"]: r["doc_tokens"] for r in got}
+    assert all(sum(r["length"] for r in got if r["doc_id"] == d) == n[d] for d in n)
+    groups = Counter()
+    for r in got:
+        groups[r["tier"], r["step_group"]] += r["length"]
+    for t in {t for t, _ in groups}:  # over all tasks, only a tier's last group is short
+        sizes = [groups[t, g] for g in sorted(g for x, g in groups if x == t)]
+        assert all(x == 8192 for x in sizes[:-1]) and [g for x, g in sorted(groups) if x == t] == list(range(len(sizes)))
+
+
+def test_packing_of_repeated_ids(spark):
+    frame = spark.createDataFrame([("a", "x y z"), ("a", "x y z"), ("a", "other"), (None, "x"), (None, None)], "doc_id string, text string")
+    got = P.pack_documents(frame, public_path("byte_bpe_50k.json")).collect()
+    starts = Counter(r["doc_id"] for r in got if r["start"] == 0)
+    assert starts == {"a": 3, None: 2}
+
+
 def test_tiers_are_filled():
     items = [(n, i, 0) for i, n in enumerate([1500, 700, 600, 300, 200, 200, 100, 90, 40])]
     full, rest = P.pack_buffer(items, (256, 512, 1024, 2048), False)
@@ -126,6 +166,27 @@ def test_warc(spark):
     assert W.read_archives(W.normalize_archives(W.write_archives(pages.limit(0), f"{folder}/r2"), f"{folder}/n2")).count() == 0
 
 
+def test_ids_of_pages_stay(spark, monkeypatch):
+    """Ids beyond 2^53 with and without nulls, repeated ids, and more repeated payloads than are broadcast."""
+    big = 2**53
+    sets = [
+        [(big + 1, "a"), (big + 3, "a"), (big + 5, "b"), (None, "a")], [(big + 1, "a"), (big + 3, "a")],
+        [(1, "x"), (1, "y"), (2, "x"), (2, "y"), (2, "y"), (0, "y"), (3, None), (4, "")], [(i, f"p{i % 7}") for i in range(3000)],
+    ]
+    for most in (200_000, 0):
+        monkeypatch.setattr(W, "BROADCAST_ROWS", most)
+        for rows in sets:
+            pages = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+            folder = scratch(spark, "test-warc-ids")
+            back = W.read_archives(W.normalize_archives(W.write_archives(pages, f"{folder}/raw"), f"{folder}/normal"))
+            least = {}
+            for i, h in rows:
+                if i is not None:
+                    least[h or ""] = min(i, least.get(h or "", i))
+            want = Counter((i, W.payload_digest((h or "").encode()), None if i is None or least[h or ""] == i else least[h or ""]) for i, h in rows)
+            assert Counter((r["page_id"], r["payload_digest"], r["refers_to"]) for r in back.collect()) == want
+
+
 def test_damaged_archives():
     record = W.record_bytes(1, "u", b"payload", W.payload_digest(b"payload"), None)
     assert [r for _, r in W.records(iter([record[:50], record[50:] + record]))] == [record, record]
