@@ -24,9 +24,9 @@ CHUNK, STEP, WINDOW, STRIDE = 512, 448, 8, 4
 EMBED, FILTERS = 8, 16
 #: Lags at which a window may repeat earlier bytes.
 LAGS = range(2, 21)
-#: Labelled rows that the network is fitted on, at most, and chunks taken from each, evenly over the whole text.
-TRAIN_DOCS, TRAIN_CHUNKS = 4_000, 6
-UPDATES, BATCH, RATE = 500, 64, 0.01
+#: Labelled rows that the network is fitted on, at most, and bytes of their texts together.  Each text is taken whole.
+TRAIN_DOCS, TRAIN_BYTES = 4_000, 24 << 20
+UPDATES, BATCH, RATE = 250, 64, 0.01
 
 
 @dataclass
@@ -129,21 +129,31 @@ def fit(x: np.ndarray, doc: np.ndarray, y: np.ndarray) -> Net:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held_out: int) -> Net:
-    """Fit on at most TRAIN_DOCS labelled rows outside the held-out fold, chosen by a hash of their ids."""
+    """Fit on at most TRAIN_DOCS labelled rows outside the held-out fold, with at most TRAIN_BYTES of texts.
+
+    They are chosen by a hash of their ids, and all of each text is learned from; a text that alone is larger is not
+    chosen.  Of several labels for an id the smallest counts.
+    """
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (crc_fold(F.col(id_col), folds) != held_out)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    chosen = rows.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
+    chosen = rows.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    sized = texts.groupBy("id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).orderBy(F.xxhash64("id"), "id").collect()
+    fits, total = [], 0
+    for r in sized:
+        if total + r["n"] <= TRAIN_BYTES:
+            fits.append(r["id"])
+            total += r["n"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for name, y, text in zip(b["id"], b["y"], b["text"]):
                 x = chunks((text or "").encode("utf-8", "surrogatepass"))
-                for k in np.unique(np.linspace(0, len(x) - 1, min(len(x), TRAIN_CHUNKS)).astype(int)):
-                    out.append((str(name), y, int(k), x[k].tobytes()))
+                out += [(str(name), y, k, r.tobytes()) for k, r in enumerate(x)]
             yield pd.DataFrame(out, columns=["id", "y", "k", "x"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    got = texts.join(F.broadcast(chosen), "id").mapInPandas(cut, "id string, y int, k int, x binary").toPandas().sort_values(["id", "k", "x"], ignore_index=True)
+    some = docs.sparkSession.createDataFrame([(x,) for x in fits], rows.select("id").schema)
+    got = texts.join(F.broadcast(some), "id").mapInPandas(cut, "id string, y int, k int, x binary").toPandas().sort_values(["id", "k", "x"], ignore_index=True)
     doc, ids = pd.factorize(got["id"])
     y = got.groupby(doc)["y"].first().to_numpy(float) if len(got) else np.zeros(0)
     x = np.array([np.frombuffer(r, np.uint8) for r in got["x"]]).reshape(-1, CHUNK)
@@ -167,7 +177,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """docs with held_out, score and predicted, by a network fitted on the labelled rows outside the held-out fold.
 
     A null id is not held out.  Rows of labels with other labels than 0 and 1 or null ids are not used; of several for
-    an id, one.  Without labels every score is one half.
+    an id the smallest counts.  Rows of docs with one id are learned from together.  Without labels every score is one
+    half.
     """
     net = fit_on(docs, labels, id_col, text_col, label_col, folds, held_out)
     return score_quality(docs, net, text_col).withColumn("held_out", F.coalesce(crc_fold(F.col(id_col), folds) == held_out, F.lit(False)))

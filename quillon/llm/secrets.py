@@ -11,9 +11,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,13 +23,16 @@ from quillon.llm.common import table
 
 KINDS = ("assign", "access", "hex", "weak_access", "weak_secret", "endpoint")
 STRONG = {"assign": "secret", "hex": "secret", "access": "access"}
+ROLES = {"secret", "access", "endpoint"}
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,12}://[^\s\"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|io|dev|cloud)\b(?::\d+)?", re.A)
+URL = re.compile(r"[a-z][a-z0-9+.-]{1,12}://[^\s\"'<>]+", re.A)
+#: A run that may hold a host name, and the last label that makes it one; runs don't overlap, so a text is read once.
+HOST_RUN, HOST_END, PORT = re.compile(r"(?<![A-Za-z0-9_.-])[a-z0-9][a-z0-9.-]*", re.A), re.compile(r".*[a-z0-9-]\.(?:com|net|org|io|dev|cloud)(?![A-Za-z0-9_])", re.A), re.compile(r":\d+", re.A)
 #: What every endpoint holds: a text without it has none.
-ENDPOINT_HINT = re.compile(r"://|\.(?:com|net|org|io|dev|cloud)\b", re.A)
+ENDPOINT_HINT = re.compile(r"://|\.(?:com|net|org|io|dev|cloud)(?![A-Za-z0-9_])", re.A)
 WEAK_ACCESS = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Z0-9]{16,}(?![A-Za-z0-9+/_=-])")
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 INSIDE, OUTSIDE = re.compile(r"[A-Za-z0-9+/_=-]"), re.compile(r"[^A-Za-z0-9+/_=-]")
@@ -64,15 +67,52 @@ def is_random(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isupper() for c in s) and any(c.islower() for c in s) and entropy(s) >= 3.5
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs, and host names under well-known top-level domains outside them with their ports, in order."""
+    urls = [m.span() for m in URL.finditer(text)]
+    out, starts = list(urls), [s for s, _ in urls]
+    for m in HOST_RUN.finditer(text):
+        k = bisect_right(starts, m.end())
+        if k and urls[k - 1][1] > m.start():  # the run meets a URL
+            continue
+        if end := HOST_END.match(text, m.start(), m.end()):
+            port = PORT.match(text, end.end())
+            out.append((m.start(), port.end() if port else end.end()))
+    return sorted(out)
+
+
+class Intervals:
+    """Spans (start, end, role) by paragraph and role, for asking whether one lies near a place."""
+
+    def __init__(self, spans: list[Span], cuts: list[int]):
+        self.cuts, self.of = cuts, {}
+        for s, e, role in sorted(spans):
+            starts, ends = self.of.setdefault((bisect_left(cuts, s), role), ([], []))
+            starts.append(s)
+            ends.append(max(e, ends[-1]) if ends else e)  # the farthest end so far
+
+    def near(self, s: int, e: int, reach: int, roles: set[str]) -> bool:
+        scope = bisect_left(self.cuts, s)
+        for role in roles:
+            starts, ends = self.of.get((scope, role), ((), ()))
+            k = bisect_right(starts, e + reach)
+            if k and ends[k - 1] >= s - reach:
+                return True
+        return False
+
+
 def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
     """Weak candidates and endpoints that a complementary part lies within reach of, in the same paragraph."""
     if not base and not ENDPOINT_HINT.search(text):
         return []
     cuts = [m.start() for m in PARAGRAPH.finditer(text)]
-    taken = [(s, e) for s, e, _ in base]
-    free = lambda s, e: not any(a < e and s < b for a, b in taken)
-    anchors = [(s, e, STRONG[k]) for s, e, k in base] + [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
-    anchors.sort()
+    taken, ends = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
+
+    def free(s: int, e: int) -> bool:
+        k = bisect_left(taken, e)
+        return not k or ends[k - 1] <= s
+
+    anchors = sorted([(s, e, STRONG[k]) for s, e, k in base] + [(s, e, "endpoint") for s, e in endpoints(text)])
     out: set[Span] = set()
     done_to = 0
     for s, e, _ in anchors:  # only the neighbourhood of an anchor can hold a linked candidate
@@ -86,32 +126,10 @@ def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
         weak = [(m.start(), m.end(), "weak_access") for m in WEAK_ACCESS.finditer(text, lo, hi) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
         weak += [(m.start(), m.end(), "weak_secret") for m in WEAK_SECRET.finditer(text, lo, hi) if is_random(m[0])]
         out |= {x for x in weak if free(x[0], x[1])}
-    starts = [a[0] for a in anchors]
-    longest = max([a[1] - a[0] for a in anchors], default=0)
-
-    def meets(s: int, e: int, role: str) -> bool:
-        scope = bisect_left(cuts, s)
-        i = bisect_left(starts, s - reach - longest)
-        while i < len(anchors) and anchors[i][0] <= e + reach:
-            a, b, other = anchors[i]
-            if other != role and b >= s - reach and bisect_left(cuts, a) == scope:
-                return True
-            i += 1
-        return False
-
-    found = [x for x in out if meets(x[0], x[1], x[2].removeprefix("weak_"))]
-    roles = sorted((s, e, STRONG.get(k) or k.removeprefix("weak_")) for s, e, k in [*base, *found])
-    role_starts = [r[0] for r in roles]
-    widest = max([r[1] - r[0] for r in roles], default=0)
-    for s, e, role in anchors:
-        if role == "endpoint":
-            scope, i = bisect_left(cuts, s), bisect_left(role_starts, s - reach - widest)
-            while i < len(roles) and roles[i][0] <= e + reach:
-                if roles[i][1] >= s - reach and bisect_left(cuts, roles[i][0]) == scope and free(s, e):
-                    found.append((s, e, "endpoint"))
-                    break
-                i += 1
-    return found
+    parts = Intervals(anchors, cuts)
+    found = [x for x in out if parts.near(x[0], x[1], reach, ROLES - {x[2].removeprefix("weak_")})]
+    roles = Intervals([(s, e, STRONG.get(k) or k.removeprefix("weak_")) for s, e, k in [*base, *found]], cuts)
+    return found + [(s, e, "endpoint") for s, e, role in anchors if role == "endpoint" and free(s, e) and roles.near(s, e, reach, ROLES - {role})]
 
 
 def joined(spans: list[Span]) -> str:
