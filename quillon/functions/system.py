@@ -51,23 +51,22 @@ def truncate_value(x, precision: int, force: bool = False) -> Column:
 
 
 def array_get(a, k) -> Column:
-    """An array's element, counted from 1, or a map's value; null if there is none."""
-    return F.try_element_at(col(a), col(k))
-
-
-def array_element(a, k) -> Column:
-    """As array_get for arrays, without counting from the end."""
-    return F.when(col(k) >= 1, F.get(col(a), col(k) - 1))
+    """An array's element, counted from 1, or a map's value; null if there is none, as for places below 1."""
+    a, k = col(a), col(k)
+    return F.when(F.typeof(a).startswith("array") & (k.try_cast("bigint") < 1), F.lit(None)).otherwise(F.try_element_at(a, k))
 
 
 def array_contains(a, v) -> Column:
-    """Whether an array has a value."""
+    """Whether an array has a value, or with a list of values all of them."""
+    if isinstance(v, (list, tuple)):
+        return F.size(F.array_except(F.array(*map(F.lit, v)), col(a))) == 0
     return F.array_contains(col(a), col(v))
 
 
-def array_contains_all(a, values) -> Column:
-    """Whether an array has all values of another one."""
-    return F.size(F.array_except(col(values), col(a))) == 0
+def array_length(a) -> Column:
+    """An array's number of elements; null for null and for values of other types."""
+    whole = F.to_variant_object(F.struct(col(a).alias("a")))
+    return F.size(F.try_variant_get(whole, "$.a", "array<variant>"))
 
 
 def _conf(name: str):
@@ -136,7 +135,7 @@ FUNCTIONS = {
     "TRUNCATE_VALUE": truncate_value, "COALESCE": _coalesce, "NVL": _coalesce, "NVL2": lambda a, b, c: F.when(col(a).isNotNull(), col(b)).otherwise(col(c)),
     "NULLIF": lambda a, b: F.nullif(col(a), col(b)), "CASE": case, "NEXTVAL": lambda name: F.lit(SEQUENCES.next(name)), "CURRVAL": lambda name: F.lit(SEQUENCES.current(name)),
     "ARRAY_GET": array_get, "ARRAY_CONTAINS": array_contains, "CSVREAD": csvread, "CSVWRITE": csvwrite, "MEMORY_FREE": lambda: memory("free"), "MEMORY_USED": lambda: memory("used"),
-    "TRANSACTION_ISOLATION_LEVEL": lambda: F.lit(8), "SCHEMA": F.current_schema, "SESSION_ID": lambda: F.lit(session().sparkContext.applicationId), "ARRAY_LENGTH": lambda a: F.size(col(a)),
+    "TRANSACTION_ISOLATION_LEVEL": lambda: F.lit(8), "SCHEMA": F.current_schema, "SESSION_ID": lambda: F.lit(session().sparkContext.applicationId), "ARRAY_LENGTH": array_length,
     "LEAST": lambda *xs: F.least(*[col(x) for x in xs]), "GREATEST": lambda *xs: F.greatest(*[col(x) for x in xs]), "CANCEL_SESSION": cancel_session, "SET": set_variable,
     "FILE_READ": file_read, "TRANSACTION_ID": lambda: F.lit(None), "DECODE": decode, "DISK_SPACE_USED": disk_space_used, "VERSION": F.version,
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.relational import small
+
 
 def insert(table: DataFrame, rows: DataFrame, defaults: dict[str, Column] | None = None) -> DataFrame:
     """table with further rows; columns that they lack take their defaults, else null."""
@@ -16,21 +18,53 @@ def insert(table: DataFrame, rows: DataFrame, defaults: dict[str, Column] | None
     return table.unionByName(new)
 
 
-def update(table: DataFrame, values: dict[str, Column], where: Column | None = None) -> DataFrame:
-    """table with columns set where the condition is true; all values are computed from the old row."""
+def first_rows(table: DataFrame, where: Column | None, limit: int, keys: list[str]) -> DataFrame:
+    """The keys of the first matching rows by their keys, which name each row; the limit bounds what meets in one task."""
+    hit = table.where(where) if where is not None else table
+    return small(hit.select(*keys).orderBy(*keys).limit(limit))
+
+
+def update(table: DataFrame, values: dict[str, Column], where: Column | None = None, limit: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """table with columns set where the condition is true; all values are computed from the old row.
+
+    With a limit only so many rows change, the first by their keys.
+    """
+    hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
+    if limit is not None:
+        chosen = first_rows(table, where, limit, keys).withColumn("_chosen", F.lit(True))
+        table, hit = table.join(chosen, keys, "left").select(*table.columns, "_chosen"), F.coalesce("_chosen", F.lit(False))
+    kinds = [(c, t) for c, t in table.dtypes if c != "_chosen"]
+    return table.select(*[(F.when(hit, values[c].cast(t)).otherwise(F.col(c)) if c in values else F.col(c)).alias(c) for c, t in kinds])
+
+
+def update_from(table: DataFrame, rows: DataFrame, keys: list[str], columns: list[str], where: Column | None = None) -> DataFrame:
+    """SET (columns) = (subquery correlated by keys): the subquery's row for each key, nulls where it has none.
+
+    A subquery with several rows for a key that is asked for raises.
+    """
+    one = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*columns)).alias("_new"))
     hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
-    return table.select(*[(F.when(hit, values[c].cast(t)).otherwise(F.col(c)) if c in values else F.col(c)).alias(c) for c, t in table.dtypes])
+    marked = table.join(one, keys, "left")
+    several = F.raise_error(F.lit("the subquery has several rows"))
+    new = lambda c, t: F.when(hit & (F.col("_n") > 1), several.cast(t)).when(hit, F.col(f"_new.{c}").cast(t)).otherwise(F.col(c))
+    return marked.select(*[(new(c, t) if c in columns else F.col(c)).alias(c) for c, t in table.dtypes])
+
 
+def delete(table: DataFrame, where: Column | None = None, limit: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """table without the rows for which the condition is true; rows for which it is null stay.
 
-def delete(table: DataFrame, where: Column | None = None) -> DataFrame:
-    """table without the rows for which the condition is true; rows for which it is null stay."""
+    With a limit only so many rows go, the first by their keys.
+    """
+    if limit is not None:
+        return table.join(first_rows(table, where, limit, keys), keys, "left_anti").select(*table.columns)
     return table.limit(0) if where is None else table.where(~F.coalesce(where, F.lit(False)))
 
 
-def merge(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+def merge(table: DataFrame, rows: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
     """Rows replace those with equal keys and are added otherwise; columns that rows lack keep their old values.
 
-    Of several rows with one key the greatest counts, column by column compared.  Null keys match nothing.
+    Of several rows with one key the last counts: that with the greatest order, or without one the last as the rows'
+    partitions hold them.  Null keys match nothing.
     """
     if not keys:
         raise ValueError("a key is needed")
@@ -38,7 +72,8 @@ def merge(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    last = rows.where(known).groupBy(*keys).agg(F.max(F.struct(*other)).alias("_new")) if other else rows.where(known).select(*keys).distinct().withColumn("_new", F.struct(F.lit(1)))
+    placed = rows.withColumn("_order", F.monotonically_increasing_id() if order is None else order)
+    last = placed.where(known).groupBy(*keys).agg(F.max_by(F.struct(*other) if other else F.struct(F.lit(1)), F.col("_order")).alias("_new"))
     joined = table.withColumn("_old", F.lit(True)).join(last, keys, "full")
     kept = [F.col(c) if c in keys else (F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) if c in other else F.col(c)) for c in table.columns]
     merged = joined.select(*[x.cast(t).alias(c) for x, (c, t) in zip(kept, table.dtypes)])

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: One side of a non-equi join is broadcast up to so many rows.
+#: One side of a join is broadcast up to so many rows, by their count.
 BROADCAST_ROWS = 1_000_000
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     """Equality on all columns of the same name, each shown once; the product if there are none."""
     shared = [c for c in a.columns if c.lower() in {x.lower() for x in b.columns}]
@@ -23,12 +28,18 @@ def right_join(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
 def band_join(a: DataFrame, b: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
     """Rows of a whose point lies in b's closed interval [low, high], as an equi-join on bands of a width.
 
-    An interval is repeated once a band that it touches; pick a width near that of common intervals.
+    Bands double in width from level to level, and an interval is placed at the level where it touches two or three of
+    them, so a wide one costs no more rows than a narrow one; a point is looked up once at each level that occurs.
     """
-    bands = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
-    left = a.withColumn("_band", F.floor(F.col(point) / width))
-    right = b.where(F.col(low) <= F.col(high)).withColumn("_band", F.explode(bands))
-    return left.join(right, "_band").where(F.col(point).between(F.col(low), F.col(high))).drop("_band")
+    size = F.col(high) - F.col(low)
+    level = F.when(size > width, F.ceil(F.log2(size / width))).otherwise(0).cast("int")
+    scale = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_level"))
+    placed = b.where(F.col(low) <= F.col(high)).withColumn("_level", level)
+    levels = [r["_level"] for r in placed.select("_level").distinct().collect()]  # at most one for each power of two
+    right = placed.withColumn("_band", F.explode(F.sequence(F.floor(F.col(low) / scale), F.floor(F.col(high) / scale))))
+    at = F.array(*[F.lit(x) for x in levels]).cast("array<int>")
+    left = a.withColumn("_level", F.explode(at)).withColumn("_band", F.floor(F.col(point) / scale))
+    return left.join(right, ["_level", "_band"]).where(F.col(point).between(F.col(low), F.col(high))).drop("_level", "_band")
 
 
 def not_in(a: DataFrame, column: str, values: DataFrame) -> DataFrame:
@@ -49,16 +60,21 @@ _COMPARE = {
 def quantified(a: DataFrame, left: Column, op: str, quantifier: str, values: DataFrame, name: str = "result") -> DataFrame:
     """a with a column that holds left op ALL | ANY | SOME (values), by three-valued logic.
 
-    The values are reduced to one row (count, nulls, least, greatest, whether all are equal), which joins every row of a.
+    The values are reduced to one row (count, nulls, least, greatest, whether all are equal), which joins every row of a;
+    = ANY and <> ALL ask for membership, by an equi-join.
     """
     v = values.columns[0]
+    if (op, quantifier.upper()) in (("=", "ANY"), ("=", "SOME"), ("<>", "ALL")):
+        state = values.agg(F.count("*").alias("_n"), F.count(v).alias("_k"))
+        known = values.where(F.col(v).isNotNull()).select(F.col(v).alias("_v")).distinct().withColumn("_hit", F.lit(True))
+        met = a.join(known, left == F.col("_v"), "left").join(F.broadcast(state))
+        found = F.when(F.col("_hit"), True).when(F.col("_n") == 0, False).when(left.isNull() | (F.col("_n") > F.col("_k")), F.lit(None)).otherwise(False)
+        return met.withColumn(name, found if op == "=" else ~found).drop("_v", "_hit", "_n", "_k")
     one = values.agg(F.count("*").alias("_n"), F.count(v).alias("_k"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     # A comparison holds for all (some) values if it holds for the value that it is hardest (easiest) for.
     everything = quantifier.upper() == "ALL"
     lo, hi = F.col("_lo"), F.col("_hi")
     if op in ("=", "<>"):
-        if everything == (op == "<>"):
-            raise ValueError(f"{op} {quantifier} is not_in() or a semi join")
         met = (left == lo) & (lo == hi) if everything else ~((left == lo) & (lo == hi))
     else:
         up = op in (">", ">=")
@@ -99,6 +115,35 @@ def order(*keys: str) -> list[Column]:
     return out
 
 
+def order_by(df: DataFrame, *keys: str) -> DataFrame:
+    """df sorted by keys as order() reads them; a whole number stands for the column of that place, a negative one for its
+    descending order."""
+    named = []
+    for k in keys:
+        first, _, rest = k.partition(" ")
+        if first.lstrip("-").isdigit():
+            if not 1 <= abs(int(first)) <= len(df.columns):
+                raise ValueError(f"no column {first}")
+            down = first.startswith("-") != rest.lower().startswith("desc")
+            nulls = rest.lower()[rest.lower().find("nulls") :] if "nulls" in rest.lower() else ""
+            k = f"{df.columns[abs(int(first)) - 1]} {'desc' if down else 'asc'} {nulls}".strip()
+        named.append(k)
+    return df.orderBy(*order(*named))
+
+
+def row_numbers(df: DataFrame, column: str = "rownum") -> DataFrame:
+    """df with each row's place, from 1, in the order in which its partitions hold the rows; only counts meet in one place.
+
+    df should be stored rows, whose partitions are the same each time they are read.
+    """
+    placed = df.withColumn("_at", F.monotonically_increasing_id())
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = small(counts.select("_part", before.alias("_before")))
+    return placed.withColumn("_part", part).join(bases, "_part").withColumn(column, F.col("_before") + within + 1).drop("_at", "_part", "_before")
+
+
 def page(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Limit and offset of an ordered frame; a null or negative limit is none."""
     out = df.offset(offset) if offset and offset > 0 else df

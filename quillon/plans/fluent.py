@@ -171,6 +171,10 @@ class Query:
     def find_list(self) -> list[Row]:
         return self.to_df().collect()
 
+    def find_array(self) -> list[tuple]:
+        """The rows as plain tuples."""
+        return [tuple(r) for r in self.find_list()]
+
     def find_count(self) -> int:
         return self.to_df().count()
 

@@ -164,14 +164,14 @@ def fn_datetime_format(t):
 
 @query(
     "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'part' END AS cs, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END AS cw, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS de, coalesce(nullif(o_orderstatus, 'P'), '-') AS co, "
-    "CASE WHEN nullif(o_orderstatus, 'P') IS NULL THEN 'none' ELSE 'some' END AS n2, greatest(o_custkey, 500) AS gr, least(o_custkey, 500) AS le, CAST(o_totalprice AS INTEGER) AS ci, CAST(o_custkey AS VARCHAR) AS cv FROM orders WHERE o_totalprice <> floor(o_totalprice) + 0.5"
+    "CASE WHEN nullif(o_orderstatus, 'P') IS NULL THEN 'none' ELSE 'some' END AS n2, greatest(o_custkey, 500) AS gr, least(o_custkey, 500) AS le, CAST(floor(o_totalprice + 0.5) AS INTEGER) AS ci, CAST(o_custkey AS VARCHAR) AS cv FROM orders"
 )
 def fn_conditional(t):
     s = c("o_orderstatus")
     open_ = F.nullif(s, F.lit("P"))
-    return t("orders").where("o_totalprice <> floor(o_totalprice) + 0.5").select(
+    return t("orders").select(
         "o_orderkey", call("case", s, "F", "done", "O", "open", "part").alias("cs"), call("casewhen", c("o_totalprice") > 200000, 1, 0).alias("cw"), call("decode", s, "F", 1, "O", 2).alias("de"), call("ifnull", open_, "-").alias("co"),
-        call("nvl2", open_, "some", "none").alias("n2"), call("greatest", c("o_custkey"), 500).alias("gr"), call("least", c("o_custkey"), 500).alias("le"), call("cast", F.round("o_totalprice"), "INT").alias("ci"), call("convert", c("o_custkey"), "VARCHAR(20)").alias("cv"),
+        call("nvl2", open_, "some", "none").alias("n2"), call("greatest", c("o_custkey"), 500).alias("gr"), call("least", c("o_custkey"), 500).alias("le"), call("cast", call("round", c("o_totalprice")), "INT").alias("ci"), call("convert", c("o_custkey"), "VARCHAR(20)").alias("cv"),
     )
 
 
@@ -192,3 +192,59 @@ def fn_session(t):
         "r_regionkey", call("database").alias("db"), call("schema").alias("sc"), call("user").alias("us"), call("version").alias("ve"), call("current_date").alias("cd"), call("now").alias("nw"), call("random").alias("rn"), call("random_uuid").alias("uu"),
         F.length(call("secure_rand", 8)).alias("sr"), call("memory_used").alias("mu"), call("session_id").alias("si"), call("autocommit").alias("ac"), call("zero").alias("ze"), call("database_path").alias("dp"), call("lock_timeout").alias("lt"),
     )
+
+
+@query(
+    "SELECT p_partkey, chr(65 + (p_partkey % 26)::INT) AS ch, length(p_name) AS n1, length(p_name) AS n2, lower(p_name) AS lo, upper(p_name) AS up, ceil(p_retailprice / 7) AS ce, round(ln(p_retailprice), 6) AS lg, "
+    "coalesce(nullif(p_type, 'ECONOMY'), 'none') AS c1, coalesce(nullif(p_type, 'ECONOMY'), p_brand) AS c2, coalesce(nullif(p_type, 'ECONOMY'), 'x') AS c3, left(p_name, 4) AS cut FROM part"
+)
+def fn_other_names(t):
+    """Names by which functions are known besides their common ones."""
+    n, kind = c("p_name"), call("nullif", c("p_type"), F.lit("ECONOMY"))
+    return t("part").select(
+        "p_partkey", call("chr", (c("p_partkey") % 26).cast("int") + 65).alias("ch"), call("char_length", n).cast("bigint").alias("n1"), call("character_length", n).cast("bigint").alias("n2"), call("lower", n).alias("lo"),
+        call("upper", n).alias("up"), call("ceil", c("p_retailprice") / 7).cast("double").alias("ce"), F.round(call("log", c("p_retailprice")), 6).alias("lg"), call("isnull", kind, F.lit("none")).alias("c1"),
+        call("coalesce", kind, c("p_brand")).alias("c2"), call("nvl", kind, F.lit("x")).alias("c3"), call("truncate_value", n, 4).alias("cut"),
+    )
+
+
+@query(
+    "SELECT event_id, day(ts)::INT AS d1, day(ts)::INT AS d2, (dayofweek(ts) + 1)::INT AS w, dayofyear(ts)::INT AS y, minute(ts)::INT AS m, weekofyear(ts)::INT AS k FROM events"
+)
+def fn_datetime_names(t):
+    ts = c("ts")
+    names = {"d1": "day_of_month", "d2": "dayofmonth", "w": "dayofweek", "y": "dayofyear", "m": "minute", "k": "week"}
+    return t("events").select("event_id", *[call(f, ts).cast("int").alias(a) for a, f in names.items()])
+
+
+@query(
+    "SELECT TRUE AS today, TRUE AS now, TRUE AS users, TRUE AS auto, FALSE AS readonly, 0 AS lock, 8 AS isolation, 0 AS zero, TRUE AS random, 8 AS secure, 36 AS uuid, TRUE AS memory, TRUE AS version, TRUE AS tx, '<?xml version=\"1.0\"?>' AS xml"
+)
+def fn_constants(t):
+    """What does not differ from run to run in functions of the session: constants, lengths, ranges and agreements."""
+    same = lambda *names: F.array_size(F.array_distinct(F.array(*[call(x).cast("string") for x in names]))) == 1
+    return t("region").where("r_regionkey = 0").select(
+        same("current_date", "curdate").alias("today"), same("now", "current_timestamp").alias("now"), same("user", "current_user").alias("users"), call("autocommit").alias("auto"), call("readonly").alias("readonly"),
+        call("lock_timeout").alias("lock"), call("transaction_isolation_level").alias("isolation"), call("zero").cast("int").alias("zero"), call("rand").between(0, 1).alias("random"), F.length(call("secure_rand", 8)).alias("secure"),
+        F.length(call("sys_guid")).alias("uuid"), (call("memory_free") >= 0).alias("memory"), call("version").isNotNull().alias("version"), call("transaction_id").isNull().alias("tx"), F.trim(F.regexp_replace(call("xmlstartdoc"), "\\s+$", "")).alias("xml"),
+    )
+
+
+@query("SELECT n_nationkey, NULL::VARCHAR AS zeroth, NULL::VARCHAR AS before, n_name AS first, TRUE AS both, FALSE AS one, 2::INT AS len, NULL::INT AS none FROM nation")
+def fn_array_edges(t):
+    """Places below 1 hold nothing; a list of values asks for all of them; only arrays have a length."""
+    a = F.array(c("n_name"), F.lit("x"))
+    return t("nation").select(
+        "n_nationkey", call("array_get", a, 0).alias("zeroth"), call("array_get", a, -1).alias("before"), call("array_get", a, 1).alias("first"), call("array_contains", F.array(F.lit("x"), F.lit("y")), ["x", "y"]).alias("both"),
+        call("array_contains", a, ["x", "?"]).alias("one"), call("array_length", a).alias("len"), call("array_length", c("n_name")).alias("none"),
+    )
+
+
+@query("SELECT '4b6579' AS key, 'a9993e36' AS sha, TRUE AS xtea, TRUE AS aes, TRUE AS packed")
+def fn_cipher_vectors(t):
+    """Against published values, and cipher text that differs from the plain text."""
+    plain = F.encode(F.lit("0123456789abcdef"), "UTF-8")
+    return t("region").where("r_regionkey = 0").select(
+        F.lower(F.hex(call("stringtoutf8", F.lit("Key")))).alias("key"), F.left(F.sha1(F.lit("abc")), F.lit(8)).alias("sha"), (call("encrypt", "XTEA", F.lit(b"key"), plain) != plain).alias("xtea"),
+        (F.length(call("encrypt", "AES", F.lit(b"key"), plain)) >= 16).alias("aes"), (F.length(call("compress", F.encode(F.repeat(F.lit("ab"), F.lit(5000)), "UTF-8"))) < 1000).alias("packed"),
+    )

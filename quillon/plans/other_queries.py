@@ -101,8 +101,15 @@ def udaf_median(t):
 
 @query("SELECT p_brand, CAST(max(p_size) - min(p_size) AS BIGINT) AS width FROM part GROUP BY p_brand")
 def udaf_python(t):
-    f = user.create_aggregate(SparkSession.active(), "width", lambda v: int(v.max() - v.min()), "bigint")
-    return t("part").groupBy("p_brand").agg(f("p_size").alias("width"))
+    """A user aggregate with partial states, so no brand's rows meet in one task."""
+    ends = user.aggregate_by_parts(t("part"), ["p_brand"], "p_size", lambda v: {"lo": int(v.min()), "hi": int(v.max())}, {"lo": F.min, "hi": F.max}, "lo bigint, hi bigint")
+    return ends.select("p_brand", (c("hi") - c("lo")).alias("width"))
+
+
+@query("SELECT n_regionkey, string_agg(left(n_name, 1), '' ORDER BY n_name) AS firsts FROM nation GROUP BY n_regionkey")
+def udaf_whole_groups(t):
+    f = user.create_aggregate(SparkSession.active(), "firsts", lambda v: "".join(x[0] for x in sorted(v)), "string")
+    return t("nation").groupBy("n_regionkey").agg(f("n_name").alias("firsts"))
 
 
 @query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, CAST(generate_subscripts(string_split(p_name, ' '), 1) AS INTEGER) AS at FROM part")

@@ -27,6 +27,8 @@ def parse_options(text: str) -> dict[str, str]:
             out["header"] = value.lower()
         elif name != "casesensitivecolumnnames":
             raise ValueError(f"no such option: {m[1]}")
+    if out.get("encoding", "").lower().startswith(("utf-16", "utf-32")):
+        out.setdefault("lineSep", "\n")  # lines are found by the bytes of this mark in the character set
     return out
 
 

@@ -128,3 +128,63 @@ def test_fluent(kv):
     assert Query(kv).not_()["f1"].eq("a2").find_count() == 7
     assert Query(kv)["f2"].desc().limit(2).find_list()[0]["f2"] == "l"
     assert Query(kv)["f3"].eq(12).update(f2="z").where("f2 = 'z'").count() == 6 and Query(kv)["f3"].eq(12).delete().count() == 6
+
+
+def test_definitions(spark):
+    from quillon.operators import definitions as D
+
+    t = spark.createDataFrame([(1, "a"), (2, None)], "k int, s string")
+    assert D.add_column(t, "n", "INT", 5, before="S").columns == ["k", "n", "s"]
+    assert [r["k"] for r in D.change_type(t, "K", "VARCHAR").orderBy("k").collect()] == ["1", "2"]
+    for wrong in (
+        lambda: D.add_column(t, "K", "INT"), lambda: D.add_column(t, "x", "INT", not_null=True), lambda: D.drop_column(t, "x"), lambda: D.drop_column(t.select("k"), "k"), lambda: D.rename_column(t, "k", "S"),
+        lambda: D.add_constraint(t, c("k") > 1), lambda: D.add_constraint(t.union(t), unique=["k"]), lambda: D.add_constraint(t, references=(["k"], t.where("k = 1"), ["k"])),
+    ):
+        with pytest.raises(ValueError):
+            wrong()
+    with pytest.raises(Exception, match="NULL not allowed"):
+        D.set_not_null(t, "s").collect()
+    assert D.truncate(t).count() == 0 and D.truncate(t).columns == t.columns
+    stats = {r["column_name"]: (r["n_rows"], r["n_nulls"], r["selectivity"]) for r in D.analyze(t).collect()}
+    assert stats == {"k": (2, 0, 100), "s": (2, 1, 100)} and {r["selectivity"] for r in D.analyze(t.limit(0)).collect()} == {50}
+
+
+def test_limited_changes(spark):
+    t = spark.createDataFrame([(i, i % 2) for i in range(10)], "k int, v int")
+    assert sorted(r["k"] for r in C.delete(t, c("v") == 0, 2, ["k"]).collect()) == [1, 3, 4, 5, 6, 7, 8, 9]
+    assert sorted(r["k"] for r in C.update(t, {"v": F.lit(7)}, None, 3, ["k"]).where("v = 7").collect()) == [0, 1, 2]
+    two = spark.createDataFrame([(1, 5), (1, 6), (77, 1), (77, 2)], "k int, v int")
+    with pytest.raises(Exception, match="several rows"):
+        C.update_from(t, two, ["k"], ["v"]).collect()
+    new = C.update_from(t, two, ["k"], ["v"], c("k") > 1).collect()
+    assert {r["k"]: r["v"] for r in new} == {0: 0, 1: 1} | {k: None for k in range(2, 10)}
+    last = spark.createDataFrame([(1, 9), (1, 3), (50, 1), (50, 8), (50, 2)], "k int, v int").coalesce(1)
+    merged = {r["k"]: r["v"] for r in C.merge(t, last, ["k"]).collect()}
+    assert merged[1] == 3 and merged[50] == 2 and len(merged) == 11
+
+
+def test_places(spark):
+    t = spark.range(1000).repartition(7)
+    stored = R.row_numbers(spark.createDataFrame([(i,) for i in range(500)], "v int"))
+    assert sorted(r["rownum"] for r in stored.collect()) == list(range(1, 501))
+    assert [r["id"] for r in R.page(R.order_by(t, "-1"), 3).collect()] == [999, 998, 997] and [r["id"] for r in R.page(R.order_by(t, "-1 desc nulls last"), 1).collect()] == [0]
+    with pytest.raises(ValueError):
+        R.order_by(t, "2")
+
+
+def test_wide_bands(spark):
+    a = spark.createDataFrame([(float(i),) for i in range(-50, 50)] + [(None,), (1e6,)], "x double")
+    rows = [(k, lo, lo + w) for k, (lo, w) in enumerate([(-60.0, 1e9), (0.0, 0.0), (3.5, 0.1), (-7.0, 3.0), (-49.5, 64.0), (10.0, 1.0), (5.0, -1.0), (-1e7, 2e7)])]
+    b = spark.createDataFrame(rows, "k int, lo double, hi double")
+    got = sorted((r["x"], r["k"]) for r in R.band_join(a, b, "x", "lo", "hi", 1.0).collect())
+    points = [float(i) for i in range(-50, 50)] + [1e6]
+    assert got == sorted((x, k) for x in points for k, lo, hi in rows if lo <= x <= hi)
+    assert R.band_join(a, b.limit(0), "x", "lo", "hi", 1.0).count() == 0
+
+
+def test_aggregate_by_parts(spark):
+    from quillon.functions.user import aggregate_by_parts
+
+    t = spark.createDataFrame([("a", 1), ("a", 5), (None, 3), ("b", 2)], "g string, v int").repartition(3)
+    got = aggregate_by_parts(t, ["g"], "v", lambda v: {"s": int(v.sum()), "n": len(v)}, {"s": F.sum, "n": F.sum}, "s bigint, n bigint").collect()
+    assert {(r["g"], r["s"], r["n"]) for r in got} == {("a", 6, 2), (None, 3, 1), ("b", 2, 1)}
