@@ -39,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_good), ("near_duplicates", drop_copies), ("benchmark", drop_benchmark), ("secrets", blank_secrets), ("packing", pack)]
 
-#: Tokenising and learning can't be put in SQL; tests hold each stage against plain Python.
+#: Tokenising and learning can't be put in SQL; a test computes all stages of run() over a whole table again in plain Python.
 ORACLE_SQL = None
 
 

@@ -11,7 +11,7 @@ from quillon.functions import user
 from quillon.operators import changes as C
 from quillon.plans.fluent import Query
 from quillon.plans.registry import query
-from quillon.session import DEFAULT_CHECKPOINTS
+from quillon.session import checkpoint_dir
 from quillon.sources import csv, files, metadata, script
 from quillon.streaming import fetch
 
@@ -21,7 +21,7 @@ c = F.col
 def scratch(name: str) -> str:
     """A new folder in the shared checkpoint folder."""
     s = SparkSession.active()
-    return f"{s.conf.get('spark.checkpoint.dir', None) or DEFAULT_CHECKPOINTS}/quillon/{s.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(s)}/quillon/{s.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 # Changes

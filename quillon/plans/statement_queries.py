@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions import call, user
 from quillon.operators import aggregates as A
 from quillon.operators import changes as C
 from quillon.operators import definitions as D
 from quillon.operators import relational as R
 from quillon.operators.sequences import SEQUENCES, numbered
+from quillon.operators.statements import Prepared
 from quillon.plans.fluent import Query
 from quillon.plans.other_queries import scratch
 from quillon.plans.registry import query
-from quillon.sources import csv, files, metadata
+from quillon.sources import csv, files, metadata, script
 from quillon.types import create_domain
 
 c = F.col
@@ -169,8 +171,6 @@ def sequence_rows(t):
 def sequence_values(t):
     SEQUENCES.held.pop("quillon_s", None)
     SEQUENCES.create("quillon_s", start=5, step=2, least=5, most=9, cycle=True)
-    from quillon.functions import call
-
     one = t("region").where("r_regionkey = 0")
     return one.select(call("nextval", "quillon_s").alias("a"), call("nextval", "quillon_s").alias("b"), call("currval", "quillon_s").alias("current"), call("nextval", "quillon_s").alias("c"), call("nextval", "QUILLON_S").alias("wrapped"), call("lastval").alias("last"))
 
@@ -229,6 +229,77 @@ def explain_parts(t):
     return text.select(F.contains("p", F.lit("HashAggregate")).alias("aggregates"), F.contains("p", F.lit("Scan parquet")).alias("scans"), F.col("p").rlike(r"PushedFilters: \[[^\]]*EqualTo\(o_custkey,5\)").alias("pushed"))
 
 
+# Statements
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 1000 AND s_nationkey = 3 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 5000 AND s_nationkey = 7")
+def prepared_statements(t):
+    """Prepared once, executed with values, and deallocated; by place and by name."""
+    t("supplier").createOrReplaceTempView("supplier")
+    p = Prepared(SparkSession.active())
+    p.prepare("RICH", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > ?2 AND s_nationkey = ?1")
+    p.prepare("named", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > :least AND s_nationkey = :nation")
+    both = p.execute("rich", 3, 1000).unionByName(p.execute("named", least=5000, nation=7))
+    p.deallocate("rich")
+    return both
+
+
+@query("SELECT upper('abc') || 7 AS result")
+def call_expression(t):
+    """CALL evaluates an expression without a table."""
+    return SparkSession.active().range(1).select(F.concat(call("ucase", F.lit("abc")), F.lit(3 + 4).cast("string")).alias("result"))
+
+
+@query("SELECT r_regionkey, 'AB' AS x, TRUE AS stamp, 'café' AS n FROM region")
+def literals_typed(t):
+    """Binary literals, a time of day within a timestamp, and national text."""
+    stamp = F.expr("date_format(TIMESTAMP_NTZ '2020-01-01 12:34:56', 'HH:mm:ss') = '12:34:56'")
+    return t("region").select("r_regionkey", F.expr("cast(X'4142' as string)").alias("x"), stamp.alias("stamp"), F.lit("café").alias("n"))
+
+
+@query("SELECT n_regionkey AS place, count(*) AS many FROM nation WHERE n_regionkey < 4 GROUP BY 1")
+def view_columns(t):
+    """A view with column names of its own, replaced and dropped."""
+    s = SparkSession.active()
+    t("nation").createOrReplaceTempView("nation")
+    s.sql("CREATE OR REPLACE TEMPORARY VIEW quillon_v (place, many) AS SELECT n_regionkey, count(*) FROM nation GROUP BY n_regionkey")
+    s.sql("CREATE OR REPLACE TEMPORARY VIEW quillon_v (place, many) AS SELECT n_regionkey, count(*) FROM nation WHERE n_regionkey < 4 GROUP BY n_regionkey")
+    rows = s.table("quillon_v").select("place", "many")
+    s.catalog.dropTempView("quillon_v")
+    return rows
+
+
+@query("SELECT 5 AS n, 'quillon_other' AS place")
+def ddl_schema(t):
+    """A schema made, used for a stored table, and dropped with it."""
+    s = SparkSession.active()
+    path = scratch("schema")
+    t("region").write.parquet(path)
+    s.sql("CREATE SCHEMA IF NOT EXISTS quillon_other")
+    s.sql("DROP TABLE IF EXISTS quillon_other.region")
+    s.sql(f"CREATE TABLE quillon_other.region USING parquet LOCATION '{path}'")
+    n, place = s.table("quillon_other.region").count(), s.catalog.getTable("quillon_other.region").namespace[0]
+    s.sql("DROP SCHEMA quillon_other CASCADE")
+    return s.range(1).select(F.lit(n).cast("int").alias("n"), F.lit(place).alias("place"))
+
+
+@query(
+    "SELECT 'INSERT INTO r VALUES (' || r_regionkey || ', ''' || r_name || '\\''s'', NULL);' AS statement FROM region "
+    "UNION ALL SELECT 'CREATE TABLE r (r_regionkey bigint, name string, x int);'"
+)
+def script_text(t):
+    """The SQL text that makes a table again."""
+    r = t("region").select(c("r_regionkey").cast("bigint").alias("r_regionkey"), F.concat("r_name", F.lit("'s")).alias("name"), F.lit(None).cast("int").alias("x"))
+    return script.insert_statements(r, "r").unionByName(SparkSession.active().createDataFrame([(script.create_statement(r, "r"),)], "statement string"))
+
+
+@query("SELECT p_partkey, p_brand || '/' || p_type AS two, p_brand || '/' || p_type || '/' || p_name AS three FROM part")
+def udf_varargs(t):
+    """One user function of any number of arguments."""
+    f = user.create_alias(SparkSession.active(), "slashed", lambda *xs: "/".join(xs), "string", vectorised=False)
+    return t("part").select("p_partkey", f("p_brand", "p_type").alias("two"), f("p_brand", "p_type", "p_name").alias("three"))
+
+
 # The fluent builder
 
 

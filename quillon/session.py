@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the cluster names no spark.checkpoint.dir.
+#: Used only in local mode where the session names no spark.checkpoint.dir.
 DEFAULT_CHECKPOINTS = "file:///tmp/checkpoints"
 
 SETTINGS = {
@@ -25,9 +25,17 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return b.config(map={k.replace("_", "."): v for k, v in settings.items()}).getOrCreate()
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or DEFAULT_CHECKPOINTS
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the checkpoint folder that all executors share."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINTS)
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -50,6 +51,30 @@ def dump(spark: SparkSession, folder: str, *tables: str) -> None:
     spark.createDataFrame(schemas, "name string, schema string").coalesce(1).write.mode("overwrite").json(f"{folder}/_schemas")
 
 
+def create_statement(df: DataFrame, table: str) -> str:
+    """CREATE TABLE with the columns of a frame."""
+    columns = [f"{f.name} {f.dataType.simpleString()}" + ("" if f.nullable else " NOT NULL") for f in df.schema]
+    return f"CREATE TABLE {table} ({', '.join(columns)});"
+
+
+def insert_statements(df: DataFrame, table: str) -> DataFrame:
+    """One INSERT statement a row, in a column named statement; made where the rows are."""
+    texts = []
+    for f in df.schema:
+        c = F.col(f.name)
+        quoted = F.concat(F.lit("'"), F.regexp_replace(c.cast("string"), r"(['\\])", r"\\$1"), F.lit("'"))
+        if isinstance(f.dataType, (T.NumericType, T.BooleanType)):
+            text = c.cast("string")
+        elif isinstance(f.dataType, T.BinaryType):
+            text = F.concat(F.lit("X'"), F.hex(c), F.lit("'"))
+        elif isinstance(f.dataType, T.StringType):
+            text = quoted
+        else:
+            text = F.concat(F.lit("CAST("), quoted, F.lit(f" AS {f.dataType.simpleString()})"))
+        texts.append(F.coalesce(text, F.lit("NULL")))
+    return df.select(F.concat(F.lit(f"INSERT INTO {table} VALUES ("), F.array_join(F.array(*texts), ", "), F.lit(");")).alias("statement"))
+
+
 def restore(spark: SparkSession, folder: str) -> list[str]:
     """Make the tables of an export known as temporary views."""
     names = []
