@@ -14,12 +14,15 @@ blocks of members and of guests, and each pair of blocks with a member block is
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from quillon.llm.common import ceil_div, join_spread, materialize, table
 from quillon.llm.components import Labels, components
@@ -58,10 +61,16 @@ def fit_centroids(unit: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def compare_blocks(a: pd.DataFrame, b: pd.DataFrame, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def units(raw, kind: str, d: int) -> np.ndarray:
+    """Vectors, stored as bytes of a number type, as unit vectors in double precision."""
+    v = np.frombuffer(b"".join(raw), kind).reshape(-1, d).astype(np.float64)
+    v /= np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
+def compare_blocks(a: pd.DataFrame, b: pd.DataFrame, same: bool, threshold: float, kind: str, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Linked weights of a's and of b's rows, and stars (i, j) over a's rows followed by b's."""
-    d = len(a["unit"].iloc[0])
-    va, vb = (np.array(x["unit"].tolist(), np.float64).reshape(-1, d) for x in (a, b))
+    va, vb = (units(x["vec"], kind, d) for x in (a, b))
     wa, wb = a["n"].to_numpy(np.int64), b["n"].to_numpy(np.int64)
     fa, fb = a["factor"].to_numpy(), b["factor"].to_numpy()
     turn = rotation(d).T
@@ -91,18 +100,46 @@ def compare_blocks(a: pd.DataFrame, b: pd.DataFrame, same: bool, threshold: floa
     return la, lb, *labels.stars()
 
 
-def link_vectors(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """From classes (cls, label, unit, n): (cls, linked) partial sums of linked weights, and links (a, b)."""
-    sizes = classes.groupBy("label", F.size("unit").alias("d")).count()
-    large = sizes.where(F.col("count") > CELL).select("label", "d", "count")
-    counts = {(r["label"], r["d"]): r["count"] for r in large.collect()}
+def read_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, str]:
+    """(id, label, key, vec) of each row, stored, and the number type of vec's bytes.
+
+    Vectors that can link have their bytes, without negative zeros, and a digest of these as key; others have nulls.
+    """
+    single = isinstance(getattr(vectors.schema[vector_col].dataType, "elementType", None), FloatType)
+    kind = "<f4" if single else "<f8"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b["vector"]
+            at = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            odd, some = (np.append(0, np.cumsum(x)) for x in (~np.isfinite(flat), flat != 0))
+            known = ~lists.is_null().to_numpy(zero_copy_only=False) & ~b["label"].is_null().to_numpy(zero_copy_only=False)
+            good = known & (odd[at[1:]] == odd[at[:-1]]) & (some[at[1:]] > some[at[:-1]])
+            plain = (flat + 0.0).astype(kind)
+            raw = [plain[x:y].tobytes() if ok else None for x, y, ok in zip(at[:-1].tolist(), at[1:].tolist(), good.tolist())]
+            keys = [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw]
+            yield pa.RecordBatch.from_pydict({"id": b["id"], "label": b["label"], "key": pa.array(keys, pa.binary()), "vec": pa.array(raw, pa.binary())})
+
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("vector"))
+    id_type, label_type = (rows.schema[c].dataType.simpleString() for c in ("id", "label"))
+    return materialize(rows.mapInArrow(run, f"id {id_type}, label {label_type}, key binary, vec binary"), "vectors"), kind
+
+
+def link_vectors(rows: DataFrame, kind: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From rows (id, label, key, vec): classes (cls, label, key, least, n), their linked weights (cls, linked), and links (a, b)."""
+    size = np.dtype(kind).itemsize
+    d_of = (F.octet_length("vec") / size).cast("int").alias("d")
+    counts = {(r["label"], r["d"]): r["count"] for r in rows.groupBy("label", d_of).count().where(F.col("count") > CELL).collect()}
     centers: dict[tuple, np.ndarray] = {}
     if counts:
-        of = classes.select("label", F.size("unit").alias("d"), "unit").join(F.broadcast(large.select("label", "d")), ["label", "d"])
-        sample = of.sample(min(1.0, SAMPLE / sum(counts.values())), SEED).toPandas()
-        for at, part in sample.groupby(["label", "d"]):
-            k = min(CENTROIDS, ceil_div(counts[at], CELL // 2), len(part))
-            centers[at] = fit_centroids(np.array(part["unit"].tolist()), k)
+        large = rows.sparkSession.createDataFrame(list(counts), rows.select("label", d_of).schema)
+        of = rows.select("label", d_of, "vec").join(F.broadcast(large), ["label", "d"])
+        sample: dict[tuple, list] = {}
+        for r in of.sample(min(1.0, SAMPLE / sum(counts.values())), SEED).collect():
+            sample.setdefault((r["label"], r["d"]), []).append(r["vec"])
+        for at, part in sample.items():
+            centers[at] = fit_centroids(units(part, kind, at[1]), min(CENTROIDS, ceil_div(counts[at], CELL // 2), len(part)))
     # How far beyond the plane between two cells a vector may lie and still be linked across it.
     beyond = np.sqrt(max(0.0, 1 - threshold**2)) if threshold > 0 else 2.0
 
@@ -118,18 +155,26 @@ def link_vectors(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataF
             out.append([h, *np.flatnonzero(x[h] - x[:h] <= beyond * far + 1e-9).tolist()])
         return out
 
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for (label, d), part in b.groupby(["label", b["unit"].str.len().rename("d")]):
-                unit = np.array(part["unit"].tolist(), np.float64)
-                bits, factor = coded(unit)
-                cells = reached(unit, centers.get((label, d), np.zeros((1, d))))
-                yield pd.DataFrame({"cls": part["cls"], "label": part["label"], "d": int(d), "unit": part["unit"], "n": part["n"], "code": [x.tobytes() for x in bits], "factor": factor, "cells": cells})
-
-    label = dict(classes.dtypes)["label"]
-    schema = f"cls long, label {label}, d int, unit array<double>, n long, code binary, factor double, cells array<long>"
-    codes = materialize(classes.select("cls", "label", "unit", "n").mapInPandas(code, schema), "codes")
-    dealt = codes.select("*", F.posexplode("cells").alias("rank", "cell")).drop("cells").withColumn("guest", F.col("rank") > 0)
+            vec, groups = b["vec"].to_pylist(), {}
+            for i, (label, raw) in enumerate(zip(b["label"].to_pylist(), vec)):
+                groups.setdefault((label, len(raw) // size), []).append(i)
+            ds, bits, factors, cells = np.zeros(len(vec), np.int32), [b""] * len(vec), np.zeros(len(vec)), [[]] * len(vec)
+            for (label, d), some in groups.items():
+                unit = units([vec[i] for i in some], kind, d)
+                codes, factors[some] = coded(unit)
+                ds[some] = d
+                for i, x, y in zip(some, codes, reached(unit, centers.get((label, d), np.zeros((1, d))))):
+                    bits[i], cells[i] = x.tobytes(), y
+            columns = {c: b[c] for c in ("cls", "label", "key", "vec", "least", "n")}
+            yield pa.RecordBatch.from_pydict(columns | {"d": ds, "code": pa.array(bits, pa.binary()), "factor": factors, "cells": pa.array(cells, pa.list_(pa.int64()))})
+
+    grouped = rows.groupBy("label", "key", "vec").agg(F.min("id").alias("least"), F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("cls"), "*")
+    kinds = {c: grouped.schema[c].dataType.simpleString() for c in ("label", "least")}
+    schema = f"cls long, label {kinds['label']}, key binary, vec binary, least {kinds['least']}, n long, d int, code binary, factor double, cells array<long>"
+    codes = materialize(grouped.select("cls", "label", "key", "vec", "least", "n").mapInArrow(code, schema), "codes")
+    dealt = codes.select("cls", "label", "vec", "n", "d", "code", "factor", F.posexplode("cells").alias("rank", "cell")).withColumn("guest", F.col("rank") > 0)
     number = lambda guest: F.ceil(F.count_if(F.col("guest") == guest) / BLOCK).cast("int")
     blocks = dealt.groupBy("label", "d", "cell").agg(number(False).alias("homes"), number(True).alias("guests"))
     name = F.xxhash64("cls")
@@ -144,14 +189,15 @@ def link_vectors(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataF
         a, b = (g, g) if same else (g[g["block"] == key[3]], g[g["block"] == key[4]])
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "linked": []}).astype("int64")
-        la, lb, i, j = compare_blocks(a, b, same, threshold)
+        la, lb, i, j = compare_blocks(a, b, same, threshold, kind, int(key[1]))
         names = a["cls"].to_numpy() if same else np.concatenate([a["cls"].to_numpy(), b["cls"].to_numpy()])
         linked = np.concatenate([la, lb])
         some = np.flatnonzero(linked)
         return pd.DataFrame({"a": np.concatenate([names[some], names[i]]), "b": np.concatenate([np.full(len(some), -1), names[j]]), "linked": np.concatenate([linked[some], np.zeros(len(i), np.int64)])})
 
     found = materialize(meant.groupBy("label", "d", "cell", "low", "high").applyInPandas(compare, "a long, b long, linked long"), "vector-links")
-    return found.where("b = -1").groupBy(F.col("a").alias("cls")).agg(F.sum("linked").alias("linked")), found.where("b >= 0").select("a", "b")
+    weights = found.where("b = -1").groupBy(F.col("a").alias("cls")).agg(F.sum("linked").alias("linked"))
+    return codes.select("cls", "label", "key", "least", "n"), weights, found.where("b >= 0").select("a", "b")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -159,30 +205,21 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Rows link when their labels are equal and not null, their vectors equally long, and the cosine in double precision
     is at least the threshold.  Vectors that are null, empty, zero or hold null or non-finite components link with
-    nothing and are their own component, as do rows without a label.  Equal vectors are one class, whatever its size.
+    nothing and are their own component, as do rows without a label.  Equal vectors, known by a digest of 128 bits, are one
+    class, whatever its size.
     Rows with equal ids are rows of their own; null ids are never the smallest of a component with other ids.  Other
     columns are ignored.  An empty table gives no rows.
     """
-    v = F.col("vector")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).alias("label"))
-    finite = F.coalesce(F.forall(v, lambda x: F.coalesce((F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x), F.lit(False))), F.lit(False))
-    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    usable = finite & F.coalesce(top > 0, F.lit(False)) & F.col("label").isNotNull()
-    marked = rows.withColumn("usable", usable)
-    plain = F.transform(v, lambda x: x + F.lit(0.0))  # no negative zeros, which would part equal vectors
-    good = materialize(marked.where("usable").select("id", "label", plain.alias("vector")), "vectors")
-    grouped = materialize(good.groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first(top).alias("top")), "different-vectors")
-    scaled = grouped.withColumn("scaled", F.transform(v, lambda x: x / F.col("top")))
-    units = scaled.withColumn("norm", F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x)))
-    classes = materialize(units.select(F.monotonically_increasing_id().alias("cls"), "label", "vector", "least", "n", F.transform("scaled", lambda x: x / F.col("norm")).alias("unit")), "vector-classes")
-    weights, links = link_vectors(classes, threshold)
-    of = classes.select("cls", "label", "vector", "least", "n").join(weights, "cls", "left").join(components(links), F.col("cls") == F.col("node"), "left")
-    of = of.select("label", "vector", "least", "n", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component"))
-    of = materialize(of.withColumnRenamed("n", "copies"), "vector-components")
+    rows, kind = read_vectors(vectors, id_col, vector_col, label_col)
+    good = rows.where("key is not null")
+    classes, weights, links = link_vectors(good, kind, threshold)
+    of = classes.join(weights, "cls", "left").join(components(links), F.col("cls") == F.col("node"), "left")
+    of = of.select("label", "key", "least", F.col("n").alias("copies"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component"))
+    of = materialize(of, "vector-components")
     heads = of.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    named = join_spread(of, heads, ["component"], of.count()).select("label", "vector", "n_links", "component_id", F.col("copies").alias("n"))
-    linked = join_spread(good, materialize(named, "named-vectors"), ["label", "vector"], good.count()).select("id", "n_links", "component_id")
-    alone = marked.where(~F.col("usable")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    named = join_spread(of, heads, ["component"], of.count()).select("label", "key", "n_links", "component_id", F.col("copies").alias("n"))
+    linked = join_spread(good.select("id", "label", "key"), materialize(named, "named-vectors"), ["label", "key"], good.count()).select("id", "n_links", "component_id")
+    alone = rows.where("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -212,6 +212,11 @@ def test_vectors(spark, monkeypatch):
         if cell > 100:
             assert got["component_id"].tolist() == comps and got["kept"].tolist() == [i == c for i, c in enumerate(comps)]
     assert E.near_vectors(df.limit(0)).count() == 0
+    # Single precision, repeated rows, large and null ids.
+    few = spark.createDataFrame([(2**53 + 1, [1.0, 0.1], "x"), (2**53 + 3, [1.0, 0.1], "x"), (None, [1.0, -0.0], "x"), (None, [1.0, 0.0], "x"), (7, [0.0, 1.0], "x"), (7, [0.0, 1.0], "x"), (8, None, None)], "vec_id long, embedding array<float>, label string")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in E.near_vectors(few).collect()), key=str)
+    least = 2**53 + 1
+    assert got == sorted([(least, 3, least, True), (2**53 + 3, 3, least, False), (None, 3, least, False), (None, 3, least, False), (7, 1, 7, True), (7, 1, 7, True), (8, 0, 8, True)], key=str)
 
 
 def test_cells_miss_no_vector(spark, monkeypatch):

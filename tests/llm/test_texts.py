@@ -256,7 +256,7 @@ def brute_contamination(text, items, window=10):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-def test_contamination(spark):
+def test_contamination(spark, monkeypatch):
     item = " ".join(f"w{i}" for i in range(14))
     items = [(10, item), (9, "Short one"), (2, None), (3, ""), (7, "rep rep rep rep rep rep rep rep rep rep rep"), (8, "É only"), (10, item), (11, "single")]
     texts = [item.upper(), "x " + " ".join(f"w{i}" for i in range(3, 13)) + " y", " ".join(f"w{i}" for i in range(9)), None, "", "a short, ONE. short one", "rep " * 40, "é only É only", "SINGLE", "w " * 30000 + item, item + " " + item]
@@ -271,6 +271,14 @@ def test_contamination(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
     twice = docs.unionByName(docs)
     assert D.contamination(twice, bench).count() == 2 * len(texts)
+    for most in (3, 200_000):  # a vocabulary in many parts, then in one, and null ids
+        monkeypatch.setattr(D, "BROADCAST_ROWS", most)
+        nulls = docs.selectExpr("nullif(doc_id, 1) as doc_id", "text", "score", "row")
+        got = {r["doc_id"]: tuple(r)[1:] for r in D.contamination(nulls, bench).collect()}
+        assert all(got[None if i == 1 else i] == brute_contamination(t, items) for i, t in enumerate(texts))
+    mixed = spark.createDataFrame([(None, item), (None, "clean"), (5, "also clean"), (5, item)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in D.decontaminate(mixed, bench).collect() if r["doc_id"]) == [(5, "also clean")]
+    assert D.decontaminate(mixed, bench).count() == 2
 
 
 def test_proximity(spark):
