@@ -221,6 +221,26 @@ def info_setting(t):
     return got.where(c(name) == "spark.app.name").groupBy(c(name).alias("name")).agg(F.count("*").cast("int").alias("n"))
 
 
+@query("SELECT * FROM (VALUES ('ARRAY_GET'), ('CONCAT'), ('DATEADD'), ('ROUNDMAGIC')) v(function_name)")
+def info_function_names(t):
+    return metadata.functions(SparkSession.active()).where(c("function_name").isin("ARRAY_GET", "CONCAT", "DATEADD", "ROUNDMAGIC", "NO_SUCH"))
+
+
+@query("SELECT TRUE AS ran, TRUE AS staged")
+def info_query_statistics(t):
+    """The session's jobs: at least the one just run has succeeded, in one stage or more."""
+    t("region").count()
+    jobs = metadata.query_statistics(SparkSession.active()).where("status = 'SUCCEEDED'")
+    return jobs.agg((F.count("*") > 0).alias("ran"), (F.max("stages") > 0).alias("staged"))
+
+
+@query("SELECT 'quillon_listed' AS table_name, 'VIEW' AS kind")
+def info_views(t):
+    t("region").createOrReplaceTempView("quillon_listed")
+    rows = metadata.tables(SparkSession.active()).where("table_name = 'quillon_listed'").select("table_name", F.lit("VIEW").alias("kind"))
+    return SparkSession.active().createDataFrame(rows.collect(), rows.schema)
+
+
 @query("SELECT TRUE AS aggregates, TRUE AS scans, TRUE AS pushed")
 def explain_parts(t):
     """What EXPLAIN says of a filtered aggregate: it aggregates, it scans, and its filter reaches the scan."""
