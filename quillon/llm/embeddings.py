@@ -32,7 +32,7 @@ THRESHOLD = 0.93
 EPSILON = 6.0
 #: Vectors of a label that are compared without cells, and vectors in a block.
 CELL, BLOCK = 16_384, 4_096
-#: Vectors that centroids are fitted on, and the most centroids; all vectors are dealt to cells and compared.
+#: Vectors that centroids are fitted on, at most, and never more than half; the most centroids; all vectors are dealt to cells and compared.
 SAMPLE, CENTROIDS = 20_000, 4_096
 
 
@@ -136,9 +136,9 @@ def link_vectors(rows: DataFrame, kind: str, threshold: float) -> tuple[DataFram
         large = rows.sparkSession.createDataFrame(list(counts), rows.select("label", d_of).schema)
         of = rows.select("label", d_of, "vec").join(F.broadcast(large), ["label", "d"])
         sample: dict[tuple, list] = {}
-        for r in of.sample(min(1.0, SAMPLE / sum(counts.values())), SEED).collect():
+        for r in of.sample(min(0.5, SAMPLE / sum(counts.values())), SEED).collect():
             sample.setdefault((r["label"], r["d"]), []).append(r["vec"])
-        for at, part in sample.items():
+        for at, part in sample.items():  # a label that the sample leaves out stays one cell
             centers[at] = fit_centroids(units(part, kind, at[1]), min(CENTROIDS, ceil_div(counts[at], CELL // 2), len(part)))
     # How far beyond the plane between two cells a vector may lie and still be linked across it.
     beyond = np.sqrt(max(0.0, 1 - threshold**2)) if threshold > 0 else 2.0

@@ -32,7 +32,8 @@ from quillon.llm.common import ceil_div, join_spread, materialize, small, table
 from quillon.llm.components import Labels, components
 
 SEED = 42
-#: Fingerprint classes that the upper trees are fitted on; all classes are dealt out and compared, whatever the sample.
+#: Fingerprint classes that the upper trees are fitted on, at most, and never more than a quarter of them; all classes are
+#: dealt out and compared, whatever the sample.
 SAMPLE = 65_536
 #: Classes aimed at for a shard, and in a leaf of a task's own tree.  Each level of the upper tree deals boundary classes
 #: twice, so shards are as large as a task's memory comfortably holds.
@@ -268,10 +269,14 @@ def link_prints(classes: DataFrame, views: list[View], reach: int, max_distance:
     Rows out are at most one a class, view and shard that it was dealt to, however dense a group is.
     """
     n = classes.count()
-    held = words_of(classes.select("print").sample(min(1.0, SAMPLE / max(1, n)), SEED).toPandas()["print"])
-    trees = [fit_tree(view_values(held, v), reach, ceil_div(n, SHARD)) if len(held) else ([], [0]) for v in views]
+    shards = ceil_div(n, SHARD)
+    if shards > 1:
+        held = words_of(classes.select("print").sample(min(0.25, SAMPLE / n), SEED).toPandas()["print"])
+        trees = [fit_tree(view_values(held, v), reach, shards) for v in views]
+    else:  # all classes fit in one shard, and nothing needs fitting
+        held, trees = np.zeros((1, 1), np.uint64), [([], [1])] * len(views)
     # Blocks of each shard: more than one where the sample foretells more than a task should hold.
-    blocks = [[1 if (m := s * n // max(1, len(held))) <= 2 * SHARD else ceil_div(2 * m, SHARD) for s in shares] for _, shares in trees]
+    blocks = [[1 if (m := s * n // len(held)) <= 2 * SHARD else ceil_div(2 * m, SHARD) for s in shares] for _, shares in trees]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
