@@ -343,9 +343,9 @@ def limit_zero(t):
     return R.page(t("customer").select("c_custkey"), 0)
 
 
-@query("SELECT c_custkey, v, row_number() OVER (ORDER BY v ASC NULLS FIRST, c_custkey) AS asc_place, row_number() OVER (ORDER BY v DESC NULLS LAST, c_custkey) AS desc_place FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS v FROM customer WHERE c_mktsegment = 'BUILDING')")
+@query("SELECT c_custkey, v, row_number() OVER (ORDER BY v ASC NULLS FIRST, c_custkey) AS asc_place, row_number() OVER (ORDER BY v DESC NULLS LAST, c_custkey) AS desc_place FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS v FROM customer)")
 def order_nulls(t):
-    v = t("customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", F.expr("nullif(c_nationkey, 3)").alias("v"))
+    v = t("customer").select("c_custkey", F.expr("nullif(c_nationkey, 3)").alias("v"))
     up = numbered(v.withColumn("isnull", F.col("v").isNotNull()), ["isnull", "v", "c_custkey"], "asc_place").drop("isnull")
     return numbered(up.withColumns({"isnull": F.col("v").isNull(), "down": -F.col("v")}), ["isnull", "down", "c_custkey"], "desc_place").select("c_custkey", "v", "asc_place", "desc_place")
 
