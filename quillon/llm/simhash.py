@@ -251,7 +251,7 @@ def compare(prints: np.ndarray, values: np.ndarray, rows: np.ndarray, reach: int
     """Join all rows within max_distance of each other and, in the view, within reach; rows that are one component already
     are not compared again."""
     v = values[rows]
-    step = max(1, (1 << 18) // max(1, len(rows)))
+    step = max(1, (1 << 17) // max(1, len(rows)))
     for at in range(0, len(rows) - 1, step):
         near = np.bitwise_count(v[at : at + step, None] ^ v[None, at:]) <= reach
         i, j = np.nonzero(near)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -80,9 +80,8 @@ class ByteEncoder:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec["added_tokens"]}
@@ -91,6 +90,13 @@ class ByteEncoder:
         self.special = sorted(special)
         self.ranks = tiktoken.Encoding("byte", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own, loaded when a text first needs it: most workers meet none and save its memory."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         """The ids of one text, as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special) or not text.isprintable() and not _PLAIN.fullmatch(text):
